@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import nearest, survivor
+from tessera.llm import nearest, survivor, textstats
 from tessera.tables import table
 
 
@@ -52,7 +52,24 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("probe_id", F.col("record_id").alias("tick_id"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found}
+#: The word list is a fixed table; a longer one than this is refused rather than sent to every task.
+MOST_COMMON_WORDS = 100_000
+
+
+def p9_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, ratios and the prose rule for every document."""
+    words = [r[0] for r in table(spark, folder, "common_words").select("word").limit(MOST_COMMON_WORDS + 1).collect()]
+    if len(words) > MOST_COMMON_WORDS:
+        raise ValueError("the list of common words is too long to be sent along")
+    return textstats.text_statistics(table(spark, folder, "documents"), id="doc_id", text="text", common_words=words)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are for the greater part no running sentences."""
+    return p9_stats(spark, folder).where("not is_prose").select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p9_found": p9_found, "p9_stats": p9_stats}
 
 _TERMS = """
 with t as (
