@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import nearest, survivor, textstats
+from tessera.llm import mixing, nearest, packing, survivor, textstats, tokens
+from tessera.session import cut
 from tessera.tables import table
 
 
@@ -69,7 +70,51 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_stats(spark, folder).where("not is_prose").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p9_found": p9_found, "p9_stats": p9_stats}
+#: Containers of instruction data: a segment for every 16 tokens of capacity at most, and no more loss-bearing tokens than tokens.
+SEGMENT_TOKENS = 16
+MOST_PLANS = 1000
+
+
+def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequence of every document, or of each piece of one longer than a sequence, for each plan."""
+    plans = [(r[0], int(r[1])) for r in table(spark, folder, "pack_capacities").where("capacity_tokens > 0").select("plan_name", "capacity_tokens").limit(MOST_PLANS + 1).collect()]
+    if len(plans) > MOST_PLANS:
+        raise ValueError("too many plans")
+    counted = cut(tokens.with_tokens(table(spark, folder, "documents"), "text", {"doc_id": F.col("doc_id")}, lead=True))
+    items = packing.pieces(counted, plans, ["doc_id"], "tokens", "lead_tokens")
+    packed = packing.pack(items, id="doc_id", max_segments=F.greatest(F.lit(1), F.col("capacity") / SEGMENT_TOKENS), max_loss=F.col("capacity"))
+    return packed.select(F.col("plan").alias("plan_name"), "doc_id", "piece", "start", F.col("size").alias("tokens"), F.col("loss").alias("loss_tokens"), "sequence_id")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences, tokens and the share of room used, per plan."""
+    plans = table(spark, folder, "pack_capacities")
+    packed = p7_packing(spark, folder).groupBy("plan_name").agg(F.count_distinct("sequence_id").alias("sequences"), F.sum("tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"))
+    return packed.join(plans, "plan_name").select("plan_name", "sequences", "tokens", "documents", F.round(F.col("tokens") / (F.col("sequences") * F.col("capacity_tokens")), 6).alias("filled"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    # The copies of a text are found before the token counts, which are kept: both are needed more than once.
+    members = mixing.memberships(docs, "doc_id", "text", "source")
+    counted = tokens.with_tokens(docs, "text", {"id": F.col("doc_id")})
+    return mixing.mix(cut(members.join(counted, "id")), table(spark, folder, "mix_targets"))
+
+
+def p8_uses(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used in each mix, and the source it counts for."""
+    return _mixed(spark, folder).select("mix_name", F.col("id").alias("doc_id"), F.col("counted_as").alias("source"), "uses", "tokens")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares of each mix."""
+    return mixing.shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p7_packing": p7_packing, "p7_fill": p7_fill,
+    "p8_uses": p8_uses, "p8_shares": p8_shares, "p9_found": p9_found, "p9_stats": p9_stats,
+}
 
 _TERMS = """
 with t as (
