@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import quality
+from tessera.plans import expressions, quality
 
-MODULES = [quality]
+MODULES = [quality, expressions]
 FLAGSHIP = "p1_found"
 
 
