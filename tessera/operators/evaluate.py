@@ -213,7 +213,6 @@ def long_only(df: DataFrame, market: DataFrame, time: str = "timestamp", least:
     pairs = _pairs(df, "signal", "fwd")
     edge = pairs.groupBy(time).agg(F.count(F.lit(1)).alias("n"), F.percentile("signal", F.lit(quantile)).alias("edge")).where(F.col("n") >= least)
     top = pairs.join(edge, time).where("signal >= edge").join(market, time).where("market_fwd is not null")
-    top = top.withColumn("day_", F.dense_rank().over(Window.orderBy(time))) if False else top
     days = top.select(time).distinct()
     days = days.withColumn("prev_", F.lag(time).over(Window.orderBy(time)))  # one row per time
     top = top.join(days, time)

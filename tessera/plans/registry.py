@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import expressions, quality
+from tessera.plans import evaluation, expressions, quality
 
-MODULES = [quality, expressions]
-FLAGSHIP = "p1_found"
+MODULES = [quality, expressions, evaluation]
+FLAGSHIP = "eval_bundle"
 
 
 def queries() -> dict:
