@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import evaluation, expressions, quality
+from tessera.plans import evaluation, expressions, pipelines, quality
 
-MODULES = [quality, expressions, evaluation]
+MODULES = [quality, expressions, evaluation, pipelines]
 FLAGSHIP = "eval_bundle"
 
 
