@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.safe import divide, finite, log, row_mean, row_sum
+from tessera.session import cut
 
 
 def forward_return(close: Column, over, lag: int = 1, horizon: int = 1, kind: str = "simple") -> Column:
@@ -224,12 +225,13 @@ def long_only(df: DataFrame, market: DataFrame, time: str = "timestamp", least:
 def evaluation(df: DataFrame, keys: Sequence[str] = (), quantiles: int = 5, cost_bps: float = 10.0) -> DataFrame:
     """One row per key with all metrics: periods, assets, ic, rank_ic, quantile_spread, turnover, net spread, and the portfolio's.
 
-    df: keys, symbol, timestamp, signal, fwd. Keys without a defined metric have NULL there. The metrics share
-    the input; each is one aggregation, and their one-row-per-key results are joined.
+    df: keys, symbol, timestamp, signal, fwd. Keys without a defined metric have NULL there. The input is made once and
+    kept in the shared folder, since every metric reads it; their one-row-per-key results are joined.
     """
+    df = cut(df.select(*keys, "symbol", "timestamp", "signal", "fwd"))
     base = df.groupBy(*keys).agg(F.count_distinct("timestamp").alias("n_periods"), F.count_distinct("symbol").alias("n_assets"))
     parts = [mean_ic(df, keys).select(*keys, "ic"), mean_rank_ic(df, keys).select(*keys, "rank_ic"), turnover(df, keys)]
-    stream = long_short(df, keys, quantiles=quantiles)
+    stream = cut(long_short(df, keys, quantiles=quantiles))
     parts += [_mean(stream, keys, "ret", "quantile_spread").select(*keys, "quantile_spread"), portfolio_metrics(stream, keys).drop("n")]
     for p in parts:
         base = base.join(p, list(keys), "left") if keys else base.join(p, F.lit(True), "left")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import evaluation, expressions, pipelines, quality
+from tessera.plans import evaluation, expressions, pipelines, quality, records
 
-MODULES = [quality, expressions, evaluation, pipelines]
+MODULES = [quality, expressions, evaluation, pipelines, records]
 FLAGSHIP = "eval_bundle"
 
 
