@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.safe import divide, finite
+from tessera.functions.safe import divide, finite, mean_rank
 
 #: Fixed values of the language: the fields of every panel, and the functions with their number of arguments.
 FIELDS = frozenset(("open", "high", "low", "close", "volume", "vwap"))
@@ -385,9 +385,7 @@ def with_factors(panel: DataFrame, factors: Mapping[str, object | str], symbol:
             raise ExpressionError(f"{node.name} of a number")
         x = column(node.args[0])
         if node.name == "rank":
-            given = Window.partitionBy(F.col(time) if symbol else F.lit(1), x.isNull())
-            place = F.rank().over(given.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(F.col(time) if symbol else F.lit(1), x)) - 1) / 2
-            return F.when(x.isNotNull(), place / F.count(x).over(cross))
+            return mean_rank(x, F.col(time) if symbol else F.lit(1)) / F.count(x).over(cross)
         if node.name == "zscore":
             over = cross if symbol else series.rowsBetween(Window.unboundedPreceding, 0)
             return F.try_divide(x - F.avg(x).over(over), F.stddev_samp(x).over(over))

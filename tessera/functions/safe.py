@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,14 @@ def row_mean(columns: list[Column]) -> Column:
     """Mean over columns, skipping NULLs; NULL if all are."""
     n = sum((c.isNotNull().cast("int") for c in columns), F.lit(0))
     return F.try_divide(row_sum(columns), n)
+
+
+def mean_rank(x: Column, *by: Column | str) -> Column:
+    """Rank among the values of a partition, ties sharing their mean rank; NULL for a missing value.
+
+    Rank and ties come from one order of the partition (missing values last), so ranks of several columns share the
+    partition's shuffle.
+    """
+    w = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
+    peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(x.isNotNull(), F.rank().over(w) + (peers - 1) / 2)

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.safe import divide, finite, log, row_mean, row_sum
+from tessera.functions.safe import divide, finite, log, mean_rank, row_mean, row_sum
 from tessera.session import cut
 
 
@@ -34,11 +34,6 @@ def _pairs(df: DataFrame, signal: str, ret: str) -> DataFrame:
     return df.where(F.col(signal).isNotNull() & F.col(ret).isNotNull())
 
 
-def average_rank(x: Column, *over: str) -> Column:
-    """Rank within a partition, ties sharing their mean rank. Take rows without a value out first."""
-    return F.rank().over(Window.partitionBy(*over).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*over, x)) - 1) / 2
-
-
 def ic_by_time(df: DataFrame, keys: Sequence[str] = (), time: str = "timestamp", signal: str = "signal", ret: str = "fwd", least: int = 3) -> DataFrame:
     """Pearson correlation of signal and return per time with at least `least` pairs: keys, time, ic."""
     x, y = F.col(signal), F.col(ret)
@@ -49,7 +44,7 @@ def ic_by_time(df: DataFrame, keys: Sequence[str] = (), time: str = "timestamp",
 def rank_ic_by_time(df: DataFrame, keys: Sequence[str] = (), time: str = "timestamp", signal: str = "signal", ret: str = "fwd", least: int = 3) -> DataFrame:
     """The same of ranks, which are made among the pairs of a time."""
     pairs = _pairs(df, signal, ret)
-    ranked = pairs.select(*keys, time, average_rank(F.col(signal), *keys, time).alias("signal"), average_rank(F.col(ret), *keys, time).alias("fwd"))
+    ranked = pairs.select(*keys, time, mean_rank(F.col(signal), *keys, time).alias("signal"), mean_rank(F.col(ret), *keys, time).alias("fwd"))
     return ic_by_time(ranked, keys, time, least=least)
 
 
@@ -143,12 +138,7 @@ def combine(columns: Sequence[str], method: str, time: str = "timestamp") -> Col
         return row_mean([F.try_divide(F.col(c) - F.avg(c).over(cross), F.stddev_samp(c).over(cross)) for c in columns])
     if method != "rank_aggregate":
         raise ValueError(f"unknown method {method!r}")
-    ranks = []
-    for c in columns:
-        x = F.col(c)
-        place = F.rank().over(Window.partitionBy(time, x.isNull()).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(time, x)) - 1) / 2
-        ranks.append(F.when(x.isNotNull(), place.cast("double")))
-    return row_sum(ranks)
+    return row_sum([mean_rank(F.col(c), time) for c in columns])
 
 
 def pairwise_rank_correlation(df: DataFrame, signals: Sequence[str], symbol: str = "symbol", time: str = "timestamp") -> DataFrame:
@@ -157,10 +147,7 @@ def pairwise_rank_correlation(df: DataFrame, signals: Sequence[str], symbol: str
     Ranks are made among each signal's own rows and not again for a pair. A time counts if neither rank is
     constant at it. All pairs come from one aggregation of the wide table; signals are not joined to each other.
     """
-    ranked = df.select(time, *[
-        F.when(F.col(s).isNotNull(), F.rank().over(Window.partitionBy(time, F.col(s).isNull()).orderBy(s)) + (F.count(F.lit(1)).over(Window.partitionBy(time, F.col(s))) - 1) / 2).alias(s)
-        for s in signals
-    ])
+    ranked = df.select(time, *[mean_rank(F.col(s), time).alias(s) for s in signals])
     pairs = [(a, b) for i, a in enumerate(signals) for b in signals[i:]]
     aggs = []
     for k, (a, b) in enumerate(pairs):
