@@ -54,7 +54,7 @@ def value_counts(df: DataFrame, spec: Profiled) -> DataFrame:
     entries = F.array(*[
         F.struct(
             F.lit(f.name).alias("column_name"), F.lit(_kind(f.dataType)).alias("kind"), F.lit(f.name in spec.not_negative).alias("rule"),
-            F.col(f.name).cast("string").alias("value"), _as_number(F.col(f.name), f.dataType).alias("number"),
+            F.col(f"`{f.name}`").cast("string").alias("value"), _as_number(F.col(f"`{f.name}`"), f.dataType).alias("number"),
         )
         for f in columns
     ])
@@ -73,7 +73,10 @@ class ValueCounts:
         counts.withColumn("n", F.col("n") * sign).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def counts(self) -> DataFrame:
-        """What all deltas come to; values whose count is 0 are gone."""
+        """What all deltas come to; values whose count is 0 are gone. Nothing stored gives no rows."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], "table_name string, column_name string, load_id bigint, kind string, rule boolean, value string, number double, n bigint")
         deltas = self.spark.read.parquet(self.path).drop("batch")
         return deltas.groupBy(*KEYS, "kind", "rule", "value", "number").agg(F.sum("n").alias("n")).where("n <> 0")
 

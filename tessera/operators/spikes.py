@@ -251,18 +251,15 @@ def _cut_heavy(rows: DataFrame, names: list[str], heavy: list[tuple], rules: Spi
     spark = rows.sparkSession
     field = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType([*[T.StructField(n, field[n]) for n in names], T.StructField("rows_", T.LongType())])
-    hot = F.broadcast(spark.createDataFrame(heavy, schema))  # at most 4096 rows, see heavy_groups
-    match = [rows[n].eqNullSafe(hot[n]) for n in names]
-    marked = rows.join(hot, match, "left").select(*[rows[c] for c in rows.columns], "rows_")
+    # At most 4096 rows, see heavy_groups.
+    hot = F.broadcast(spark.createDataFrame(heavy, schema).withColumnsRenamed({n: f"h_{n}" for n in names}))
+    inside = [rows[n].eqNullSafe(hot[f"h_{n}"]) for n in names]
     parts = min(2000, max(2, -(-2 * max(r[-1] for r in heavy) // rules.max_rows)))
     points = [i / parts for i in range(1, parts)]
-    cuts = (
-        marked.where("rows_ is not null").groupBy(*names)
-        .agg(F.percentile_approx("at", points, 10 * parts).alias("cuts"))
-    )
-    cuts = F.broadcast(cuts)
-    match = [marked[n].eqNullSafe(cuts[n]) for n in names]
-    cutted = marked.join(cuts, match, "left").select(*[marked[c] for c in rows.columns], "cuts")
+    cuts = rows.join(hot, inside, "left_semi").groupBy(*names).agg(F.percentile_approx("at", points, 10 * parts).alias("cuts"))
+    cuts = F.broadcast(cuts.withColumnsRenamed({n: f"h_{n}" for n in names}))
+    match = [rows[n].eqNullSafe(cuts[f"h_{n}"]) for n in names]
+    cutted = rows.join(cuts, match, "left").select(*rows.columns, "cuts")
     part = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("at"))), F.lit(0))
     cutted = cutted.withColumn("home", F.when(F.col("cuts").isNull(), 0).otherwise(part))
     # As context, a tenth of the usual width of a part on either side.
