@@ -64,6 +64,8 @@ def pieces(items: DataFrame, plans: Sequence[tuple[str, int]], carry: Sequence[s
     Gives plan, capacity, the columns `carry`, piece, start, size (tokens) and loss (tokens after the `lead` tokens of an
     item). Items without tokens give no piece.
     """
+    if not plans:
+        raise ValueError("there are no plans")
     offer = F.array(*[F.struct(F.lit(p).alias("plan"), F.lit(c).cast("bigint").alias("capacity")) for p, c in plans])
     rows = items.where(F.col(tokens) > 0).select(*carry, F.col(tokens).alias("n_"), F.col(lead).alias("lead_"), F.explode(offer).alias("p_"))
     rows = rows.select("*", "p_.plan", "p_.capacity").drop("p_")

@@ -98,22 +98,25 @@ def survivors(
     """
     number = {b.name: i for i, b in enumerate(bundles)}
     fds = [(number[d.determinant], number[d.dependent], k) for k, d in enumerate(dependencies)]
-    parts = [F.col(d.field).cast("string").alias(f"d{k}") for k, d in enumerate(dependencies)]
-    order = [*[t.alias(f"t{i}") for i, t in enumerate(trust)], F.col(id).cast("bigint").alias("rid")]
+    parts = [F.col(d.field).cast("string") for d in dependencies]
+    order = F.struct(*[t.alias(f"t{i}") for i, t in enumerate(trust)], F.col(id).cast("bigint").alias("rid"))
+    nothing = F.lit(None).cast("string")
 
     def entry(b: Bundle) -> Column:
         i = number[b.name]
-        fixes = [F.col(f"d{k}") if a == i else F.lit(None).cast("string") for a, _, k in fds]
-        has = [F.col(f"d{k}") if c == i else F.lit(None).cast("string") for _, c, k in fds]
-        empty = F.array().cast("array<string>")
-        return F.struct("order_", F.array(*fixes).alias("fixes") if fixes else empty.alias("fixes"), F.array(*has).alias("has") if has else empty.alias("has"), F.struct(*b.fields).alias("v"))
-
-    keyed = df.select(*[c.alias(f"g_{n}") for n, c in group.items()], *[F.col(c) for c in df.columns], *parts).withColumn("order_", F.struct(*order))
+        fixes = [parts[k] if a == i else nothing for a, _, k in fds]
+        has = [parts[k] if c == i else nothing for _, c, k in fds]
+        return F.struct(order.alias("order_"), F.array(*fixes).cast("array<string>").alias("fixes"), F.array(*has).cast("array<string>").alias("has"), F.struct(*b.fields).alias("v"))
+
+    # From here on there are only columns named here, whatever else `df` has.
+    keyed = df.select(
+        *[c.alias(f"g_{n}") for n, c in group.items()], *[p.alias(f"d{k}") for k, p in enumerate(parts)], order.alias("order_"), *[F.when(b.valid, entry(b)).alias(f"e_{b.name}") for b in bundles]
+    )
     keys = [f"g_{n}" for n in group]
     # The most trusted record per group, bundle and value of each dependent field.
     reduced = keyed.groupBy(*keys, *[f"d{k}" for k in range(len(fds))]).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.col(id).cast("bigint")).alias("first_id"), F.min("order_").alias("best"),
-        *[F.min(F.when(b.valid, entry(b))).alias(f"b_{b.name}") for b in bundles],
+        F.count(F.lit(1)).alias("n"), F.min("order_.rid").alias("first_id"), F.min("order_").alias("best"),
+        *[F.min(f"e_{b.name}").alias(f"b_{b.name}") for b in bundles],
     )
     whole = reduced.groupBy(*keys).agg(
         F.sum("n").alias("rows"), F.min("first_id").alias("group_id"), F.min("best").alias("best"),
