@@ -59,19 +59,29 @@ def tally(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def feature_overlap(features: DataFrame) -> DataFrame:
-    """Weighted overlap of every two candidates that share a feature: left, right, similarity.
+def links(features: DataFrame, least: float = 0.85) -> DataFrame:
+    """How many other candidates each one resembles: candidate, links. Resembling is a weighted overlap of features of at least `least`.
 
-    features: candidate, feature, n. Candidates meet only on features they share, and each one's total is known, so
-    the union follows from the totals: sum of maxima = total + total - sum of minima. Features so common that they
-    pair everything should be left out before, as they tell nothing apart.
+    features: candidate, feature, n (occurrences); one row per candidate and feature. Give one candidate for each group of equal ones.
+    Two candidates can only reach the overlap if they share one of their rarest features (as many as the threshold
+    leaves), and if their sizes are close; only such candidates meet, and the test that follows is exact. Common
+    features pair nothing.
     """
-    total = features.groupBy("candidate").agg(F.sum("n").alias("total"))
-    f = features.join(total, "candidate")
-    a = f.select(F.col("candidate").alias("left"), "feature", F.col("n").alias("n_left"), F.col("total").alias("t_left"))
-    b = f.select(F.col("candidate").alias("right"), "feature", F.col("n").alias("n_right"), F.col("total").alias("t_right"))
-    both = a.join(b, "feature").where("left < right").groupBy("left", "right", "t_left", "t_right").agg(F.sum(F.least("n_left", "n_right")).alias("shared"))
-    return both.select("left", "right", (F.col("shared") / (F.col("t_left") + F.col("t_right") - F.col("shared"))).alias("similarity"))
+    rarity = features.groupBy("feature").agg(F.count(F.lit(1)).alias("common"))
+    items = features.join(rarity, "feature").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    w = Window.partitionBy("candidate")
+    items = items.withColumns({"size": F.count(F.lit(1)).over(w), "place": F.row_number().over(w.orderBy("common", "feature", "k"))})
+    # Kept per candidate for the test: its features with their occurrences, bounded by the length of an expression.
+    sets = features.groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.struct("feature", "n"))).alias("m"))
+    rare = items.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("candidate", "size", "feature", "k")
+    a, b = (rare.select(F.col("candidate").alias(n), F.col("size").alias(f"size_{n}"), "feature", "k") for n in ("left", "right"))
+    near = a.join(b, ["feature", "k"]).where("left < right").where((F.least("size_left", "size_right") >= least * F.greatest("size_left", "size_right") - 1e-9))
+    near = near.select("left", "right", "size_left", "size_right").distinct()
+    near = near.join(sets.select(F.col("candidate").alias("left"), F.col("m").alias("ml")), "left").join(sets.select(F.col("candidate").alias("right"), F.col("m").alias("mr")), "right")
+    shared = F.aggregate(F.map_values(F.map_zip_with("ml", "mr", lambda _, x, y: F.least(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    linked = near.withColumn("shared", shared).where(F.col("shared") / (F.col("size_left") + F.col("size_right") - F.col("shared")) >= least - 1e-9)
+    ends = linked.select(F.explode(F.array("left", "right")).alias("candidate")).groupBy("candidate").agg(F.count(F.lit(1)).alias("links"))
+    return features.select("candidate").distinct().join(ends, "candidate", "left").na.fill(0, ["links"])
 
 
 def weaknesses(rules: Mapping[str, Column]) -> Column:

@@ -82,15 +82,28 @@ def dsl_single_series(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(expression.with_factors(market, {"value": "zscore(close)"}, symbol=None).select("timestamp", "value"))
 
 
-def ast_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    """Weighted overlap of every two of the listed factors' features, from one aggregation."""
-    rows = [(k, repr(f), n) for k, text in FACTORS.items() for f, n in expression.features(expression.canonical(expression.parse(text))).items()]
-    features = spark.createDataFrame(rows, "candidate string, feature string, n int")
-    return rounded(selection.feature_overlap(features))
+#: Expressions whose novelty is judged: the listed factors, their variations, and some equal to others.
+KNOWN = sorted({v for text in FACTORS.values() for v, _ in expression.variations(text)} | set(FACTORS.values()) | {"(ts_mean(volume, 5)) / ts_mean(volume, 20)", "(-low + high) / close"})
+
+
+def _classes() -> dict[str, str]:
+    return {text: expression.canonical_id(expression.parse(text)) for text in KNOWN}
+
+
+def _class_features() -> list[tuple[str, str, int]]:
+    forms = {expression.canonical_id(t := expression.parse(text)): expression.canonical(t) for text in KNOWN}
+    return sorted((c, repr(f), n) for c, form in forms.items() for f, n in expression.features(form).items())
+
+
+def novelty(spark: SparkSession, folder: str) -> DataFrame:
+    """Each known expression with the class of expressions equal to it, and how many other classes resemble that."""
+    linked = selection.links(spark.createDataFrame(_class_features(), "candidate string, feature string, n int"), 0.7)
+    classes = spark.createDataFrame(sorted(_classes().items()), "expression string, class string")
+    return classes.join(linked.withColumnRenamed("candidate", "class"), "class").select("expression", "class", "links")
 
 
 QUERIES = {k: _query(text) for k, (text, _) in EXPRESSIONS.items()} | {
-    "dsl_event_decay": dsl_event_decay, "dsl_batch": dsl_batch, "dsl_single_series": dsl_single_series, "ast_similarity": ast_similarity,
+    "dsl_event_decay": dsl_event_decay, "dsl_batch": dsl_batch, "dsl_single_series": dsl_single_series, "novelty": novelty,
 }
 SQL = {k: _sql(steps) for k, (_, steps) in EXPRESSIONS.items()} | {
     "dsl_event_decay": f"""with {PANEL} select symbol, timestamp, round(coalesce(exp(-ln(2) * abs(date_diff('day', timestamp, (
@@ -101,3 +114,9 @@ select timestamp, round((close - avg(close) over w) / nullif(stddev_samp(close)
 from tessera.plans.common import FACTORS_SQL  # noqa: E402
 
 SQL["dsl_batch"] = f"with {FACTORS_SQL} " + " union all ".join(f"select '{k}' as factor, count({k}) as n, round(avg({k}), 6) as mean from fac" for k in FACTORS)
+
+_VALUES = ", ".join("('{}', '{}', {})".format(c, f.replace("'", "''"), n) for c, f, n in _class_features())
+_CLASS = ", ".join(f"('{e}', '{c}')" for e, c in sorted(_classes().items()))
+SQL["novelty"] = f"""with f(c, f, n) as (values {_VALUES}), e(expression, class) as (values {_CLASS}), t as (select c, sum(n) s from f group by c),
+p as (select a.c, b.c d, coalesce((select sum(least(x.n, y.n)) from f x join f y on x.f = y.f where x.c = a.c and y.c = b.c), 0) m, a.s + b.s u from t a, t b where a.c <> b.c),
+l as (select c, count(*) filter (m / (u - m) >= 0.7 - 1e-9) links from p group by c) select expression, class, links from e join l on l.c = e.class"""
