@@ -10,12 +10,12 @@ for path in (ROOT, ROOT / "tests"):
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tessera.session import session
 
     s = session(
         "local[4]", "tests",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.default.parallelism": "4"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.default.parallelism": "4", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

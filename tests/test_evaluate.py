@@ -130,5 +130,3 @@ def test_selection(spark):
     assert got["b", 2] == ("small", "reject") and got["a", 1] == ("weak", "refine") and got["c", 1] == ("none", "keep")
     all_ = [r for r in selection.tally(df, ["k"], "rank_ic").collect() if r["level"] == 1][0]
     assert (all_["n"], all_["positive"]) == (6, 5)
-    f = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "x", 1), ("b", "z", 1)], "candidate string, feature string, n int")
-    assert selection.feature_overlap(f).first()["similarity"] == pytest.approx(1 / 4)
