@@ -48,7 +48,7 @@ class SpikeRules:
     half: int = 8
     near: int = 3
     cut: float = 9.0
-    floor: float = 0.025
+    floor: float = 0.032
     rounds: int = 3
     run_chance: float = 1e-4
     min_run: int = 8
@@ -122,9 +122,11 @@ def additive_outliers(y: np.ndarray, rules: SpikeRules, least: np.ndarray | floa
         # Additive outlier: far from what went before and from what follows. Where one side is missing (the first
         # and last readings), the other decides alone.
         far = np.where(np.isnan(left), True, from_left > limit) & np.where(np.isnan(right), True, from_right > limit)
-        # The same with the nearest few readings only: an outlier just before or after a level shift.
+        # The same with the nearest few readings only: an outlier just before or after a level shift. Medians of few
+        # readings are noisier, by the root of the ratio of their numbers.
         left, right = _side_median(clean, rules.near)
-        far |= (np.abs(y - left) > limit) & (np.abs(y - right) > limit)
+        wide = limit * np.sqrt(rules.half / rules.near)
+        far |= (np.abs(y - left) > wide) & (np.abs(y - right) > wide)
         if np.array_equal(far, out):
             break
         out = far
