@@ -166,7 +166,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 7, least: float = 0.
 
     docs: id, own, members (see memberships) and tokens. targets: mix_name, source, target_share, max_repeats. A document
     is used at most max_repeats times for a source and, over all sources, at most the largest max_repeats of
-    its own. Documents without tokens or source are never used. Shares are met to within a document.
+    its own. Documents without tokens or source are never used; ids must be unique. Shares are met to within a document.
     """
     goals = targets.select("mix_name", source_key(F.col("source")).alias("source"), "target_share", "max_repeats").limit(MOST_PATTERNS + 1).collect()
     docs = docs.where("tokens > 0 and size(members) > 0").withColumn("pattern", F.concat_ws("|", F.coalesce("own", F.lit("")), F.array_join("members", ",")))

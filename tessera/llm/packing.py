@@ -31,31 +31,35 @@ def fill_containers(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
         return out
     share = sizes / limits
     order = np.lexsort((np.arange(n), *(-share.T[::-1])))
-    left, ids = share[order], order
+    left, ids = np.ascontiguousarray(share[order].T), order
     alive = np.ones(n, bool)
-    container, first = -1, 0
-    eps = 1e-9
-    while True:
-        while first < len(ids) and not alive[first]:
-            first += 1
-        if first == len(ids):
-            return out
+    container, first, remaining, eps = -1, 0, n, 1e-9
+    while remaining:
+        first += int(np.argmax(alive[first:]))
         container += 1
-        alive[first] = False
-        out[ids[first]] = container
-        room = 1.0 - left[first]
-        while (room > -eps).all():
-            fits = alive & (left <= room + eps).all(axis=1)
-            if not fits.any():
+        at, room = first, np.ones(len(limits))
+        while True:
+            alive[at] = False
+            remaining -= 1
+            out[ids[at]] = container
+            room = room - left[:, at]
+            # Items are in order of their first size, largest first: those that fit in it are the last ones.
+            low = max(first, int(np.searchsorted(-left[0], -(room[0] + eps))))
+            if (room < -eps).any() or low == len(ids):
                 break
-            score = np.where(fits, left @ np.maximum(room, 0), -1.0)
+            fits, score = alive[low:].copy(), max(room[0], 0.0) * left[0, low:]
+            for k in range(1, len(room)):
+                fits &= left[k, low:] <= room[k] + eps
+                score += max(room[k], 0.0) * left[k, low:]
+            score[~fits] = -1.0
             best = int(np.argmax(score))
-            alive[best] = False
-            out[ids[best]] = container
-            room = room - left[best]
-        if alive.sum() * 2 < len(alive) and len(alive) > 64:
-            left, ids = left[alive], ids[alive]
+            if score[best] < 0:
+                break
+            at = low + best
+        if 2 * remaining < len(ids) and len(ids) > 64:
+            left, ids = np.ascontiguousarray(left[:, alive]), ids[alive]
             alive, first = np.ones(len(ids), bool), 0
+    return out
 
 
 def pieces(items: DataFrame, plans: Sequence[tuple[str, int]], carry: Sequence[str], tokens: str, lead: str) -> DataFrame:
