@@ -82,7 +82,7 @@ def pieces(items: DataFrame, plans: Sequence[tuple[str, int]], carry: Sequence[s
 def pack(
     items: DataFrame, *, id: str, max_segments: Column, max_loss: Column, group_items: int = 4096, enough: float = 0.995, rounds: int = 3,
 ) -> DataFrame:
-    """The rows of `items` (see pieces) with `sequence_id`, unique within a plan.
+    """The rows of `items` (see pieces) with `sequence_id`, a text that names the container within its plan.
 
     max_segments, max_loss: limits per container as expressions over `capacity`. group_items: items packed together.
     enough: fill of the tightest dimension below which a container is packed again, in at most `rounds` rounds.
@@ -91,7 +91,7 @@ def pack(
     """
     spec = items.withColumn("max_segments", max_segments.cast("bigint")).withColumn("max_loss", max_loss.cast("bigint"))
     full = (F.col("size") >= F.col("capacity")) | (F.col("max_segments") <= 1)
-    single = spec.where(full).withColumn("sequence_id", F.abs(F.xxhash64("plan", F.col(id), "piece")).bitwiseOR(F.lit(1 << 62)))
+    single = spec.where(full).withColumn("sequence_id", F.concat_ws("-", F.lit("item"), F.col(id).cast("string"), F.col("piece").cast("string")))
     open_ = spec.where(~full)
     done, keep = single, [*items.columns, "sequence_id"]
     names = ["plan", "group", "capacity", "max_segments", "max_loss"]
@@ -117,8 +117,8 @@ def pack(
         packed = cut(grouped.groupBy(*names).applyInArrow(work, schema))
         last = r == rounds - 1 or all(n <= group_items for n in counts.values())
         good = packed if last else packed.where(F.col("fill") >= enough)
-        number = (F.lit(r).cast("bigint") * F.lit(1 << 58)) + F.col("group") * F.lit(1 << 20) + F.col("bin")
-        done = done.select(*keep).unionAll(good.withColumn("sequence_id", number).select(*keep))
+        name = F.concat_ws("-", F.lit(f"round{r}"), F.col("group").cast("string"), F.col("bin").cast("string"))
+        done = done.select(*keep).unionAll(good.withColumn("sequence_id", name).select(*keep))
         if last:
             break
         open_ = packed.where(F.col("fill") < enough).drop("group", "bin", "fill")
