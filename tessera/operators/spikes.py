@@ -2,7 +2,8 @@
 
 Readings of one source are cut into blocks in time order (a source with a third of all rows is many blocks; a
 block with too many rows is cut again, with the neighbouring readings as context). A block is worked on as
-arrays in one Arrow call, without a Python loop over readings.
+arrays in one Arrow call, without a Python loop over readings. Rows alike in channel, time, value and size are one
+reading that was delivered again: it is judged once and the verdict holds for all its rows.
 
 For each block:
 
@@ -15,7 +16,8 @@ For each block:
    whose coefficient and scale are estimated by bounded (Huber) weights. A reading is an additive outlier when it
    is far from both levels; it is a level shift, and no case, when it agrees with what follows (or, at the last
    reading of a shift, with what went before). Outliers are replaced by their predictions and the test is
-   repeated until nothing changes, so bursts do not mask each other.
+   repeated until nothing changes, so bursts do not mask each other. A stretch too long for these levels that begins and
+   ends with a jump and returns to where it began is a burst too, whatever its length (see returning_bursts).
 """
 
 from __future__ import annotations
@@ -49,7 +51,6 @@ class SpikeRules:
     near: int = 3
     cut: float = 9.0
     floor: float = 0.032
-    rounds: int = 3
     run_chance: float = 1e-4
     min_run: int = 8
     size_cut: float = 6.0
@@ -101,11 +102,13 @@ def additive_outliers(y: np.ndarray, rules: SpikeRules, least: np.ndarray | floa
     steps are never spikes. A series of fewer than 3 readings has none.
     """
     n = len(y)
-    out = np.zeros(n, bool)
+    out, burst = np.zeros(n, bool), np.zeros(n, bool)
     if n < 3:
         return out
     clean = y.astype(float).copy()
-    for _ in range(rules.rounds):
+    seen: set[int] = set()
+    circle = False
+    while True:
         left, right = _side_median(clean, rules.half)
         level = np.where(np.isnan(left), right, np.where(np.isnan(right), left, 0.5 * (left + right)))
         # The deviation from the nearer level: at a shift one of the two fits.
@@ -127,11 +130,45 @@ def additive_outliers(y: np.ndarray, rules: SpikeRules, least: np.ndarray | floa
         left, right = _side_median(clean, rules.near)
         wide = limit * np.sqrt(rules.half / rules.near)
         far |= (np.abs(y - left) > wide) & (np.abs(y - right) > wide)
+        far |= burst
+        state = hash(np.packbits(far).tobytes())
+        circle |= state in seen and not np.array_equal(far, out)
+        seen.add(state)
+        if circle:  # from here on outliers are only added, so the rounds end
+            far |= out
         if np.array_equal(far, out):
-            break
+            more = returning_bursts(y, out, np.broadcast_to(limit, n), rules)
+            if not more.any():
+                return out
+            burst |= more
+            far = out | burst
         out = far
         clean = np.where(out, level, y)
-    return out
+
+
+def returning_bursts(y: np.ndarray, out: np.ndarray, limit: np.ndarray, rules: SpikeRules) -> np.ndarray:
+    """Readings, besides the outliers `out`, in stretches that jump off the level and jump back to it.
+
+    The levels around a stretch are medians of as many clean readings on either side as it has itself (at least `half`), so
+    its length has no bound; it must be shorter than what surrounds it. Stretches that end on another level are
+    shifts. Where two stretches overlap, the shorter is taken, and the other is judged in the next round.
+    """
+    found = np.zeros(len(y), bool)
+    at = np.flatnonzero(~out)
+    x, bound = y[at], limit[at]
+    n = len(x)
+    move = np.diff(x)
+    jumps = np.flatnonzero(np.abs(move) > np.maximum(bound[1:], bound[:-1])) + 1
+    pairs = [(a, b) for a, b in zip(jumps[:-1], jumps[1:], strict=True) if move[a - 1] * move[b - 1] < 0]
+    for a, b in sorted(pairs, key=lambda p: (p[1] - p[0], p[0])):
+        length, width = b - a, max(rules.half, b - a)
+        if min(a, n - b) < rules.near or min(a, width) + min(n - b, width) <= length or found[at[max(a - 1, 0) : b + 1]].any():
+            continue
+        before, after = np.median(x[max(0, a - width) : a]), np.median(x[b : b + width])
+        up = np.sign(move[a - 1])
+        if abs(after - before) <= bound[a] and (up * (x[a:b] - before) > bound[a:b]).all() and (up * (x[a:b] - after) > bound[a:b]).all():
+            found[at[a:b]] = True
+    return found
 
 
 def stuck_runs(channel: np.ndarray, value: np.ndarray, size: np.ndarray, time: np.ndarray, rules: SpikeRules) -> np.ndarray:
@@ -181,6 +218,19 @@ def size_outliers(channel: np.ndarray, size: np.ndarray, rules: SpikeRules) -> n
     return flags
 
 
+def _distinct(ids: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that stand for each reading (of rows alike in all columns, the least id), and each row's reading. NaN equals NaN."""
+    order = np.lexsort((ids, *columns))
+    new = np.zeros(len(ids), bool)
+    new[:1] = True
+    for c in columns:
+        c = c[order]
+        new[1:] |= (c[1:] != c[:-1]) & ((c[1:] == c[1:]) | (c[:-1] == c[:-1]))
+    reading = np.empty(len(ids), np.int64)
+    reading[order] = np.cumsum(new) - 1
+    return order[new], reading
+
+
 def _work(rules: SpikeRules, schema: pa.Schema):
     def work(table: pa.Table) -> pa.Table:
         channel = table["channel"].to_numpy(zero_copy_only=False)
@@ -189,6 +239,9 @@ def _work(rules: SpikeRules, schema: pa.Schema):
         own = table["own"].to_numpy(zero_copy_only=False)
         value = table["value"].to_numpy(zero_copy_only=False).astype(float)
         size = table["size"].to_numpy(zero_copy_only=False).astype(float)
+        rows = ids, own
+        first, reading = _distinct(ids, size, value, time, channel)
+        channel, time, ids, value, size = (x[first] for x in (channel, time, ids, value, size))
         order = np.lexsort((ids, time, channel))
         flags = np.zeros(len(ids), np.int32)
         stuck = np.zeros(len(ids), bool)
@@ -209,6 +262,7 @@ def _work(rules: SpikeRules, schema: pa.Schema):
             y = np.log(v)
             mid = float(np.exp(np.median(y)))
             flags[use[additive_outliers(y, rules, step / mid)]] |= SPIKE
+        flags, (ids, own) = flags[reading], rows
         keep = np.flatnonzero((flags > 0) & own)
         return pa.table({"id": pa.array(ids[keep], pa.int64()), "flags": pa.array(flags[keep], pa.int32())}, schema=schema)
 
@@ -282,8 +336,13 @@ def _count_work(rules: SpikeRules, schema: pa.Schema):
     def work(table: pa.Table) -> pa.Table:
         ids, at, own = (table[c].to_numpy(zero_copy_only=False) for c in ("id", "at", "own"))
         count, total = (table[c].to_numpy(zero_copy_only=False).astype(float) for c in ("count", "total"))
+        rows = ids, own
+        first, reading = _distinct(ids, total, count, at)
+        ids, at, count, total = (x[first] for x in (ids, at, count, total))
         order = np.lexsort((ids, at))
-        ids, at, own, count, total = (x[order] for x in (ids, at, own, count, total))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids, at, count, total = (x[order] for x in (ids, at, count, total))
         flags = np.zeros(len(ids), np.int32)
         with np.errstate(invalid="ignore"):
             bad = (count < 0) | (count > total)
@@ -297,6 +356,7 @@ def _count_work(rules: SpikeRules, schema: pa.Schema):
             # Two Poisson standard deviations of the logarithm, at the count that the source's usual share gives.
             least = 2.0 / np.sqrt(np.exp(np.median(y)) * (total[use] + 1.0) + 0.5)
             flags[use[additive_outliers(y, rules, least)]] |= SPIKE
+        flags, (ids, own) = flags[place[reading]], rows
         keep = np.flatnonzero((flags > 0) & own)
         return pa.table({"id": pa.array(ids[keep], pa.int64()), "flags": pa.array(flags[keep], pa.int32())}, schema=schema)
 

@@ -129,3 +129,39 @@ def test_counts_by_load(spark):
     out = spikes.flag_counts(df, id="id", source=["s"], order="load", count="n", total="total").collect()
     got = {r["id"]: r["flags"] for r in out}
     assert got == {5: spikes.SPIKE, 99: spikes.SPIKE, 10: spikes.LIMIT, 15: spikes.LIMIT, **{i: spikes.STUCK for i in range(21, 30)}}
+
+
+def test_a_spike_delivered_again_many_times_is_found_with_all_its_copies(spark):
+    p = readings()
+    p.loc[40, "value"] *= 10
+    p.loc[300, "value"] = round(p.loc[300, "value"] * 0.8, 2)
+    again = pd.concat([p.loc[[i]].assign(id=9000 + 100 * i + k) for i in (40, 300) for k in range(12)])
+    assert set(flags(spark, pd.concat([p, again], ignore_index=True))) == {40, 300, *again["id"]}
+
+
+@pytest.mark.parametrize("length", [9, 10, 12, 40, 90])
+def test_a_long_burst_that_returns_is_found_whole_and_a_shift_is_not(length):
+    g = np.random.default_rng(length)
+    y = np.log(20 * np.exp(np.cumsum(g.normal(0, 3e-4, 400))))
+    y[200 : 200 + length] += 0.2
+    y[60] -= 0.3
+    assert set(np.flatnonzero(spikes.additive_outliers(y, SpikeRules()))) == {60, *range(200, 200 + length)}
+    y[200 + length :] += 0.4  # the stretch is now a step of a stair
+    assert set(np.flatnonzero(spikes.additive_outliers(y, SpikeRules()))) - set(range(200, 209)) == {60}
+
+
+def test_rounds_end_on_series_that_are_half_bursts():
+    g = np.random.default_rng(0)
+    for _ in range(200):
+        y = np.cumsum(g.normal(0, 3e-4, 120)) + 0.2 * (g.random(120) < 0.4)
+        assert len(spikes.additive_outliers(y, SpikeRules())) == 120
+
+
+def test_a_count_rebuilt_many_times_is_found_with_all_its_copies(spark):
+    g = np.random.default_rng(2)
+    rows = [(i, "A", i, int(g.poisson(200)), 50_000) for i in range(1, 39)]
+    rows[4] = (5, "A", 5, 7000, 50_000)
+    rows += [(100 + k, "A", 5, 7000, 50_000) for k in range(12)]
+    df = spark.createDataFrame(rows, "id bigint, s string, load bigint, n bigint, total bigint")
+    out = spikes.flag_counts(df, id="id", source=["s"], order="load", count="n", total="total").collect()
+    assert {r["id"]: r["flags"] for r in out} == {i: spikes.SPIKE for i in (5, *range(100, 112))}
