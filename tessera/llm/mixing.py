@@ -81,8 +81,11 @@ class Pattern:
     tokens: int
 
 
-def route(patterns: Sequence[Pattern], quotas: Mapping[str, int], repeats: Mapping[str, int]) -> dict[tuple[int, str], int] | None:
-    """Tokens of each pattern (by its number) for each source, at least cost, or None if the quotas cannot be met."""
+def route(patterns: Sequence[Pattern], quotas: Mapping[str, int], repeats: Mapping[str, int], whole: bool = True) -> dict[tuple[int, str], int] | None:
+    """Tokens of each pattern (by its number) for each source, at least cost, or None if the quotas cannot be met.
+
+    Without `whole` the quotas are upper bounds, and as many tokens as possible are sent.
+    """
     net = Network()
     s, t = net.node(), net.node()
     sink = {q: net.node() for q in quotas}
@@ -99,7 +102,7 @@ def route(patterns: Sequence[Pattern], quotas: Mapping[str, int], repeats: Mappi
         for m in to:
             arcs[i, m] = net.arc(node, sink[m], p.tokens * repeats[m], 0 if m == p.own else 1)
     want = sum(quotas.values())
-    if net.send(s, t, want) < want:
+    if net.send(s, t, want) < want and whole:
         return None
     return {k: net.room[e ^ 1] for k, e in arcs.items() if net.room[e ^ 1]}
 
@@ -108,24 +111,45 @@ def plan_mix(patterns: Sequence[Pattern], shares: Mapping[str, float], repeats:
     """The flow of the largest mix in which every source has its share.
 
     Sources without documents are left out and the other shares scaled up. A source so small that the mix would
-    be less than `least` of all tokens gives what it has, and the others keep their shares among themselves.
+    be less than `least` of all tokens gives what it has, and the others keep their shares among themselves. Several such
+    sources give what they have together: a text that they share is supplied only once. If sources have documents
+    and no plan can be made of them, it is an error.
     """
     reach = {m: sum(p.tokens for p in patterns if m in p.members) for m in shares}
     present = {m: w for m, w in shares.items() if w > 0 and reach[m] > 0}
     natural = sum(p.tokens for p in patterns if set(p.members) & set(present))
-    fixed: dict[str, int] = {}
+    scarce: dict[str, int] = {}
     while present:
         weight = sum(present.values())
         limit = {m: reach[m] * repeats[m] * weight / w for m, w in present.items()}
         tight = min(limit, key=lambda m: (limit[m], m))
         if limit[tight] >= least * natural or len(present) == 1:
-            break
-        fixed[tight] = reach[tight] * repeats[tight]
+            fixed = _given(route(patterns, {**dict.fromkeys(present, 0), **scarce}, repeats, whole=False), scarce)
+            total, found = _largest(patterns, present, fixed, repeats, int(limit[tight]), max(1, natural // 100_000))
+            if total + max(1, natural // 100_000) >= least * natural or len(present) == 1:
+                if not found and any(reach[m] * repeats[m] for m in [*present, *scarce]):
+                    raise ValueError(f"no mix of the sources {sorted([*present, *scarce])} can be made")
+                return found
+            # Shared texts leave a source less than its reach: what it can have beside the scarce ones decides.
+            for m, w in present.items():
+                beside = route(patterns, {**dict.fromkeys(present, 0), **fixed, m: reach[m] * repeats[m]}, repeats, whole=False)
+                limit[m] = (sum(beside.values()) - sum(fixed.values())) * weight / w
+            tight = min(limit, key=lambda m: (limit[m], m))
+        scarce[tight] = reach[tight] * repeats[tight]
         del present[tight]
-    if not present:
-        return {}
+    return {}
+
+
+def _given(flow: Mapping[tuple[int, str], int], sources: Mapping[str, int]) -> dict[str, int]:
+    """The tokens of a flow that go to each of the sources."""
+    return {m: sum(n for (_, s), n in flow.items() if s == m) for m in sources}
+
+
+def _largest(
+    patterns: Sequence[Pattern], present: Mapping[str, float], fixed: Mapping[str, int], repeats: Mapping[str, int], high: int, near: int,
+) -> tuple[int, dict[tuple[int, str], int]]:
+    """The largest total up to `high` (to within `near`) of which each present source has its share beside the fixed quotas, and its flow."""
     weight = sum(present.values())
-    low, high, best = 0, int(min(reach[m] * repeats[m] * weight / w for m, w in present.items())), {}
 
     def attempt(total: int) -> dict[tuple[int, str], int] | None:
         return route(patterns, {**{m: int(total * w / weight) for m, w in present.items()}, **fixed}, repeats)
@@ -133,15 +157,18 @@ def plan_mix(patterns: Sequence[Pattern], shares: Mapping[str, float], repeats:
     # Almost always the tightest source's limit can be met; with much overlap the total is found by halving.
     found = attempt(high)
     if found is not None:
-        return found
-    while low < high - max(1, natural // 100_000):
+        return high, found
+    low, best = 0, attempt(0)
+    if best is None:
+        raise ValueError("the quotas of the scarce sources cannot be met together")
+    while low < high - near:
         middle = (low + high) // 2
         found = attempt(middle)
         if found is None:
             high = middle
         else:
             low, best = middle, found
-    return best
+    return low, best
 
 
 def source_key(source: Column) -> Column:

@@ -53,6 +53,29 @@ def test_plans_scale_up_around_absent_and_tiny_sources():
     assert plan_mix([], {"a": 1.0}, {"a": 1}) == {}
 
 
+def _totals(flow):
+    return {m: sum(n for (_, s), n in flow.items() if s == m) for m in {s for _, s in flow}}
+
+
+def test_scarce_sources_that_share_a_text_do_not_empty_the_mix():
+    patterns = [Pattern("c", ("c",), 1000), Pattern("a", ("a", "b"), 5)]
+    once = dict.fromkeys("abc", 1)
+    got = _totals(plan_mix(patterns, {"a": 0.2, "b": 0.2, "c": 0.6}, once))
+    assert got["c"] == 1000 and got.get("a", 0) + got.get("b", 0) == 5
+    # a alone is scarce by its reach; b's only text is a's, so b has nothing left and must not hold back c.
+    got = _totals(plan_mix(patterns, {"a": 0.2, "b": 0.01, "c": 0.79}, once))
+    assert got["c"] == 1000 and got.get("a", 0) + got.get("b", 0) == 5
+    # A text of a third source's that may be repeated more often counts for both scarce ones.
+    patterns = [Pattern("c", ("c",), 1000), Pattern("c", ("a", "b", "c"), 5)]
+    got = _totals(plan_mix(patterns, {"a": 0.2, "b": 0.2, "c": 0.6}, {"a": 1, "b": 1, "c": 3}))
+    assert got["a"] == got["b"] == 5 and got["c"] >= 3000
+
+
+def test_a_mix_that_cannot_be_made_is_an_error():
+    with pytest.raises(ValueError):
+        plan_mix([Pattern("a", ("a", "b"), 1)], {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1})
+
+
 DOCS = "doc_id bigint, text string, source string, tokens bigint, own string"
 
 
