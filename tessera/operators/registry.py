@@ -49,23 +49,29 @@ def related(df: DataFrame, similarity: Column, tags: Column, wanted: Sequence[st
     return df.withColumn("score", score).where(F.col("score") >= least).orderBy(F.col("score").desc(), *tie).limit(n)
 
 
-def lineage(df: DataFrame, id: str = "id", parent: str = "parent_id", most: int = 64) -> DataFrame:
+def lineage(df: DataFrame, id: str = "id", parent: str = "parent_id") -> DataFrame:
     """Every record with its root and its depth below it. A parent that is not there makes a root; cycles have none and are left out.
 
-    Each round joins the last found level with its children; results are cut from their lineage every few rounds, and
-    the rounds end when a level is empty or after `most` of them.
+    Pointer doubling: each round joins the open records with the records they point to, so that they point twice as
+    far, and cuts the result from its lineage; depths up to d take log2(d) + 1 rounds. The record just beyond the reach of
+    a round ends in it, so when none ends the open ones are proved to lead into cycles. Repeated ids give a row for
+    each way to a root; if a cycle makes these endless, it is an error.
     """
     base = df.select(F.col(id).alias("id"), F.col(parent).alias("parent_id"))
-    known = base.select(F.col("id").alias("parent_id")).distinct()
-    roots = base.where("parent_id is null").unionAll(base.join(known, "parent_id", "left_anti").select("id", "parent_id").where("parent_id is not null"))
-    level = cut(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("depth")))
-    out = level
-    for depth in range(1, most + 1):
-        level = cut(base.join(level.select(F.col("id").alias("parent_id"), "root"), "parent_id").select("id", "root", F.lit(depth).alias("depth")))
-        if level.isEmpty():
+    known = base.select(F.col("id").alias("parent_id"), F.lit(True).alias("known")).distinct()
+    root, depth = F.when(F.col("known"), F.col("parent_id")).otherwise(F.col("id")), F.when(F.col("known"), 1).otherwise(0)
+    first = cut(base.join(known, "parent_id", "left").select("id", root.alias("root"), depth.alias("depth"), F.col("known").isNull().alias("ended")))
+    out, open_ = first.where("ended"), first.where("not ended")
+    reach, rows = 1, first.count()
+    while not open_.isEmpty():
+        to = out.unionAll(open_).select(F.col("id").alias("root"), F.col("root").alias("to"), F.col("depth").alias("more"), F.col("ended").alias("end"))
+        level = cut(open_.join(to, "root").select("id", F.col("to").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("end").alias("ended")))
+        if level.where("ended").isEmpty():
             break
-        out = out.unionAll(level)
-    return out
+        if reach > rows:
+            raise ValueError("a repeated id leads out of a cycle: its depth has no end")
+        out, open_, reach = out.unionAll(level.where("ended")), level.where("not ended"), 2 * reach
+    return out.select("id", "root", "depth")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -73,6 +73,20 @@ def test_records(spark):
     assert r[0]["id"] == 1 and r[0]["score"] == pytest.approx(0.3 + 0.3 + 0.1 * 0.5**0.5, abs=1e-6)
 
 
+def test_lineage_has_no_greatest_depth(spark):
+    chain = [(i, i - 1 if i else None) for i in range(300)]
+    tree = [(1000 + i, 1000 + (i - 1) // 2 if i else 5000) for i in range(60)]  # its root's parent is not there
+    cycle = [(2000 + i, 2000 + (i + 1) % 7) for i in range(7)] + [(2100, 2003), (2101, 2100), (2200, 2200)]
+    df = spark.createDataFrame([*cycle, *chain, *tree], "id int, parent_id int")
+    got = {r["id"]: (r["root"], r["depth"]) for r in registry.lineage(df).collect()}
+    assert got == {i: (0, i) for i in range(300)} | {1000 + i: (1000, (i + 1).bit_length() - 1) for i in range(60)}
+    assert registry.lineage(df.where("id < 0")).count() == 0 and registry.lineage(df.where("id between 2000 and 2999")).count() == 0
+    twice = spark.createDataFrame([(1, None), (2, None), (3, 1), (3, 2), (4, 3)], df.schema)
+    assert sorted(map(tuple, registry.lineage(twice).collect())) == [(1, 1, 0), (2, 2, 0), (3, 1, 1), (3, 2, 1), (4, 1, 2), (4, 2, 2)]
+    with pytest.raises(ValueError):
+        registry.lineage(spark.createDataFrame([(1, None), (2, 1), (2, 3), (3, 2)], df.schema))
+
+
 def test_readers_and_writers(spark, tmp_path):
     bars = readers.synthetic_bars(spark, ["A", "B/EUR", "C"], 30)
     assert bars.count() == 90 and bars.where("high < low").count() == 0
