@@ -26,6 +26,11 @@ def load_ticks(spark: SparkSession, folder: str) -> DataFrame:
     return ticks.load_ticks(_ticks(spark, folder), ["BID", "ASK"], start="2025-11-01", end="2025-11-30", limit=500).select("symbol", "timestamp", "event_type", "price", "size", "tick_id")
 
 
+def load_ticks_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All trades, bids and asks of the target scope in order of stock and time: the loader without limit and dates."""
+    return ticks.load_ticks(_ticks(spark, folder), ["TRADE", "BID", "ASK"]).select("symbol", "timestamp", "event_type", "price", "size", "tick_id")
+
+
 def micro_features_daily(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ticks.daily_features(_ticks(spark, folder), _days(spark, folder)))
 
@@ -216,7 +221,7 @@ def welch(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        load_ticks, micro_features_daily, intraday_features, minute_last_price, realized_vol, minute_bars, tick_manifest, tick_qa, post_qa, curate_terms, curated_terms, curate_dates, event_features,
+        load_ticks, load_ticks_all, micro_features_daily, intraday_features, minute_last_price, realized_vol, minute_bars, tick_manifest, tick_qa, post_qa, curate_terms, curated_terms, curate_dates, event_features,
         next_event_days, panel_join, scan_bars, universe_filter, backfill_missing, fundamentals_asof, fundamentals_range, key_alignment, coverage_counts, truth_audit, plausible_events, event_panel,
         car_profile, per_event_car, placebo_car, event_stats, freefloat_split, welch,
     )
@@ -257,6 +262,7 @@ _FLOAT = ", ff as (select stock_code as symbol, median(free_float_pct) as free_f
 SQL = {
     "load_ticks": """select stock_code as symbol, time as timestamp, event_type, value as price, size, tick_id from tick_events_ext where scope = 'target' and event_type in ('BID', 'ASK')
   and trading_date between date '2025-11-01' and date '2025-11-30' order by stock_code, time, tick_id limit 500""",
+    "load_ticks_all": "select stock_code as symbol, time as timestamp, event_type, value as price, size, tick_id from tick_events_ext where scope = 'target' and event_type in ('TRADE', 'BID', 'ASK') order by stock_code, time, tick_id",
     "micro_features_daily": f"""with {_TICKS},
 f as (select stock_code, trading_date, count(*) as n_trades, sum(sz) as tick_volume, avg(sz) as avg_trade_size, sum(signed) / nullif(sum(sz), 0) as ofi, avg(case when ok then (ask - bid) / mid end) as rel_spread from t group by 1, 2),
 v as ({_VOL.format(_MINUTES.format(''))}), n as (select stock_code, trading_date, count(*) as n_quotes from ev where event_type in ('BID', 'ASK') group by 1, 2)

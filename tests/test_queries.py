@@ -24,5 +24,11 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).collect() is not None
 
 
+def test_the_loader_gives_all_ticks_in_order(spark, con):
+    sql = "select tick_id from tick_events_ext where scope = 'target' and event_type in ('TRADE', 'BID', 'ASK') order by stock_code nulls first, time nulls first, tick_id"
+    got = [r["tick_id"] for r in QUERIES["load_ticks_all"](spark, FOLDER).collect()]
+    assert len(got) > 500 and got == [r[0] for r in con.execute(sql).fetchall()]
+
+
 def test_names_agree():
     assert set(SQL) <= set(QUERIES)
