@@ -117,6 +117,11 @@ def scan_bars(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(panel.between(panel.daily_panel(prices), "2025-12-01", "2025-12-31"))
 
 
+def scan_bars_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars of all stocks and days."""
+    return rounded(panel.between(panel.daily_panel(table(spark, folder, "ipo_daily_prices")), None, None))
+
+
 def universe_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Bars of stocks registered and live, by a semi join."""
     live = table(spark, folder, "ipo_master").where("deleted_at_utc is null").select(F.col("stock_code").alias("symbol")).distinct()
@@ -145,6 +150,14 @@ def fundamentals_range(spark: SparkSession, folder: str) -> DataFrame:
     return read_facts(_facts(spark, folder), symbols, ["listing_date", "pricing_date"], "2025-06-01", "2025-12-31").select("symbol", "field_name", "period_end", "term_id")
 
 
+def fundamentals_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts of all kinds and dates of every registered stock."""
+    from tessera.sources.readers import read_facts
+
+    symbols = table(spark, folder, "ipo_master").select(F.col("stock_code").alias("symbol"))
+    return read_facts(_facts(spark, folder), symbols).select("symbol", "field_name", "period_end", "term_id")
+
+
 def key_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Stock-days that only the price table or only the feature table has."""
     prices = table(spark, folder, "ipo_daily_prices").select("stock_code", F.col("date").alias("day"))
@@ -222,7 +235,7 @@ def welch(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         load_ticks, load_ticks_all, micro_features_daily, intraday_features, minute_last_price, realized_vol, minute_bars, tick_manifest, tick_qa, post_qa, curate_terms, curated_terms, curate_dates, event_features,
-        next_event_days, panel_join, scan_bars, universe_filter, backfill_missing, fundamentals_asof, fundamentals_range, key_alignment, coverage_counts, truth_audit, plausible_events, event_panel,
+        next_event_days, panel_join, scan_bars, scan_bars_all, universe_filter, backfill_missing, fundamentals_asof, fundamentals_range, fundamentals_all, key_alignment, coverage_counts, truth_audit, plausible_events, event_panel,
         car_profile, per_event_car, placebo_car, event_stats, freefloat_split, welch,
     )
 }
@@ -305,6 +318,7 @@ from a left join l using (stock_code) join p using (stock_code, event_type, even
     "panel_join": f"""with {PANEL}, m as (select * from micro_features_daily where stock_code is not null and trading_date is not null qualify row_number() over (partition by stock_code, trading_date order by loaded_at_utc desc, row_id desc) = 1)
 select symbol, timestamp, {_R('close')} as close, n_trades, {_R('ofi')} as ofi, {_R('rel_spread')} as rel_spread from panel left join m on stock_code = symbol and trading_date = timestamp""",
     "scan_bars": f"with {PANEL} select symbol, timestamp, {', '.join(_R(c) + ' as ' + c for c in ('open', 'high', 'low', 'close', 'volume', 'vwap'))} from panel where symbol >= '00300' and timestamp between date '2025-12-01' and date '2025-12-31'",
+    "scan_bars_all": f"with {PANEL} select symbol, timestamp, {', '.join(_R(c) + ' as ' + c for c in ('open', 'high', 'low', 'close', 'volume', 'vwap'))} from panel",
     "universe_filter": f"with {PANEL} select symbol, count(*) as bars from panel where symbol in (select stock_code from ipo_master where deleted_at_utc is null) group by 1",
     "backfill_missing": f"""with {PANEL}, h as (select symbol from panel group by 1 having min(timestamp) <= date '2025-11-03' and max(timestamp) >= date '2026-06-23')
 select distinct stock_code as symbol from ipo_master where stock_code not in (select symbol from h)""",
@@ -312,6 +326,7 @@ select distinct stock_code as symbol from ipo_master where stock_code not in (se
 where curated_at_utc::date <= date '2026-01-15' and event_date <= date '2026-01-15' qualify row_number() over (partition by stock_code, event_type order by event_date desc, curated_at_utc, term_id) = 1""",
     "fundamentals_range": """select stock_code as symbol, event_type as field_name, event_date as period_end, term_id from ipo_event_terms_curated
 where stock_code between '00000' and '00499' and length(stock_code) = 5 and event_type in ('listing_date', 'pricing_date') and event_date between date '2025-06-01' and date '2025-12-31'""",
+    "fundamentals_all": "select stock_code as symbol, event_type as field_name, event_date as period_end, term_id from ipo_event_terms_curated where stock_code in (select stock_code from ipo_master)",
     "key_alignment": """with p as (select distinct stock_code, date as day from ipo_daily_prices), m as (select distinct stock_code, trading_date as day from micro_features_daily)
 select stock_code, day, 'prices' as only_in from p where not exists (select 1 from m where m.stock_code = p.stock_code and m.day = p.day)
 union all select stock_code, day, 'features' as only_in from m where not exists (select 1 from p where m.stock_code = p.stock_code and m.day = p.day)""",

@@ -67,9 +67,14 @@ def backfill(stored: DataFrame, wanted: DataFrame, start: str, end: str, fetch:
     return done + len(names)
 
 
-def read_facts(facts: DataFrame, symbols: Sequence[str], fields: Sequence[str], start: str, end: str) -> DataFrame:
-    """Facts of some symbols and fields whose period ends in a range, both days included."""
-    return facts.where(F.col("symbol").isin(*symbols) & F.col("field_name").isin(*fields) & F.col("period_end").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+def read_facts(facts: DataFrame, symbols: Sequence[str] | DataFrame, fields: Sequence[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Facts of some symbols (a list, or a table with a column `symbol`) and fields whose period ends in a range, both days included; None does not restrict."""
+    out = facts.join(symbols.select("symbol").distinct(), "symbol", "left_semi") if isinstance(symbols, DataFrame) else facts.where(F.col("symbol").isin(*symbols))
+    if fields is not None:
+        out = out.where(F.col("field_name").isin(*fields))
+    if start is not None:
+        out = out.where(F.col("period_end") >= F.lit(start).cast("date"))
+    return out if end is None else out.where(F.col("period_end") <= F.lit(end).cast("date"))
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:

@@ -30,5 +30,11 @@ def test_the_loader_gives_all_ticks_in_order(spark, con):
     assert len(got) > 500 and got == [r[0] for r in con.execute(sql).fetchall()]
 
 
+@pytest.mark.parametrize("name, within", [("scan_bars_all", "scan_bars"), ("fundamentals_all", "fundamentals_range")])
+def test_whole_tables_are_read_beside_the_ranges(spark, name, within):
+    whole, part = ({tuple(r) for r in QUERIES[q](spark, FOLDER).collect()} for q in (name, within))
+    assert len(whole) > len(part) and {s[0] for s in whole} > {s[0] for s in part}
+
+
 def test_names_agree():
     assert set(SQL) <= set(QUERIES)
