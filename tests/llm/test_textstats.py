@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from hypothesis import example, given, settings
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import textstats, tokens
@@ -11,19 +11,46 @@ WORDS = ["the", "of", "and", "it", "is", "的", "我們", "本公司", "可能"]
 LEX = Lexicon(WORDS)
 PIECES = st.sampled_from([
     "The price of the shares is not known. ", "It is what it is!", " ", "\n", "\n\n", "\n- item one", "\n12. ", "a,b,c\n", "<td>", "</p>", "\t", "本公司可能於明年上市。", "我們", "的", "x" * 70, "word ", "Mr. Who said: “no.” ", "(1) ", "n/a 12.5 ", "{|}~ ",
-    "e.g.", "…", "?)", "。」", "very long words without an end ", "the",
+    "e.g.", "…", "?)", "。」", "very long words without an end ", "the", "<", ">", "<a href='" + "y" * 280 + "'>", "the <b>price</b> of <i class='x y.'>it</i> is ", "<li", " " * 210, "\x1e", "\x1f", "w" * 400, "İs ΟΔΟΣ ", "(" * 66 + "the",
+    "it is the way of words " * 50, "<td class='" + "z" * 240 + "'>",
 ])
 
 
+def _both(text, cuts):
+    return count_chunks(text, sorted(cuts), LEX), count_text(text, LEX)
+
+
 @settings(max_examples=400, deadline=None)
-@given(st.lists(PIECES, max_size=60).map("".join), st.integers(1, 60))
-@example("<td>a b c.</td>" * 4, 7)
-@example("word " * 1200 + ". The end is near. ", 500)
-def test_counts_do_not_depend_on_the_cuts(text, size):
-    if "<" in text:
-        size += 8  # a tag is never longer than a chunk
-    chunks = [text[i : i + size] for i in range(0, len(text), size)]
-    assert count_chunks(chunks, LEX) == count_text(text, LEX)
+@given(st.lists(PIECES, max_size=60).map("".join), st.data())
+def test_counts_do_not_depend_on_the_cuts(text, data):
+    cuts = data.draw(st.lists(st.integers(0, len(text)), max_size=20))
+    a, b = _both(text, cuts)
+    assert a == b
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 97, 500, 3601, 10_000])
+@pytest.mark.parametrize("text", [
+    "<p>" + "The <a href='https://example.org/one'>share</a> is what it is and <em>the</em> rest of it is not known. " * 200, "word " * 1200 + ". The end is near. ", "<td>a b c.</td>" * 40, "x" * 9000 + " the end of it is near.", "\n \n" * 900 + "The end of it is near.",
+    ("It is " + "<i>very</i> " * 130 + "long. ") * 5 + "It is what it is.", "the" * 1300 + " of the",
+])
+def test_long_stretches_and_inline_tags_at_regular_cuts(text, size):
+    text = text[: 600 if size == 1 else None]
+    a, b = _both(text, range(size, len(text), size))
+    assert a == b
+
+
+def test_prose_with_inline_tags_is_prose_however_it_is_cut(spark):
+    text = "<p>" + "The <a href='https://example.org/one'>share</a> is what it is and <em>the</em> rest of it is not known. " * 100 + "</p>"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    rows = [textstats.text_statistics(df, id="doc_id", text="text", common_words=WORDS, chunk=n, fan=3).collect() for n in (90, 2000, 65_536)]
+    assert rows[0] == rows[1] == rows[2] and rows[0][0]["is_prose"] and rows[0][0]["sentence_count"] == 100
+
+
+def test_a_broken_rule_is_named(spark):
+    prose = "It is the price of the share and it is not known. "
+    df = spark.createDataFrame([(1, prose), (2, prose + "%%% $$$ " * 3), (3, "a b c d"), (4, "the xxxxxxxxxxxxxxxxxxxxxxxxxxxxx")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["broken_rules"] for r in textstats.text_statistics(df, id="doc_id", text="text", common_words=WORDS).collect()}
+    assert got[1] == "" and "symbols" in got[2] and "sentences" in got[3] and "word length" in got[3] and "word length" in got[4]
 
 
 @settings(max_examples=100, deadline=None)
