@@ -15,24 +15,27 @@ def _merged_terms(spark: SparkSession, folder: str) -> DataFrame:
     conf = F.when(F.isnan("confidence"), None).otherwise(F.col("confidence"))
     share = F.when(conf > 1, conf / 100).otherwise(conf)
     real = F.col("source_doc_id").rlike("^D[0-9]{8}$")
-    filled = lambda *cs: F.coalesce(*[F.col(c).isNotNull() for c in cs])
     bundles = [
         survivor.Bundle("date", ["event_date"], F.year("event_date").between(2010, 2030)),
-        survivor.Bundle("doc", ["source_doc_id", "source_url", "source_page", "source_text"], real),
-        survivor.Bundle("standing", ["source_priority", "source_priority_rank", "confidence", "status"], filled("source_priority")),
-        survivor.Bundle("stake", ["shares", "pct_of_offer", "pct_of_share_capital"], F.col("shares") > 0),
-        survivor.Bundle("lockup", ["lockup_months"], F.col("lockup_months") >= 0),
+        survivor.Bundle("doc", ["source_doc_id", "source_url"], real),
+        survivor.Bundle("passage", ["source_page", "source_text"], (F.col("source_page") > 0) & (F.trim("source_text") != ""), 1, 1),
+        survivor.Bundle("standing", ["source_priority", "source_priority_rank"], F.col("source_priority").isNotNull() & F.col("source_priority_rank").isNotNull(), 3, 1),
+        survivor.Bundle("review", ["status", "confidence"], F.col("status").isNotNull() & conf.isNotNull(), 2, 1),
+        survivor.Bundle("stake", ["shares", "pct_of_offer", "pct_of_share_capital"], F.col("shares") > 0, 1, 1),
+        survivor.Bundle("lockup", ["lockup_months"], F.col("lockup_months") >= 0, 1, 1),
     ]
+    # A passage is of the chosen document, which has one source class; a review is of a record of that class.
+    dependencies = [survivor.Dependency("doc", "passage", "source_doc_id"), survivor.Dependency("doc", "standing", "source_priority"), survivor.Dependency("standing", "review", "source_priority")]
     return survivor.survivors(
         terms, id="term_id",
         group={"stock_code": F.col("stock_code"), "event_type": F.col("event_type"), "party_key": survivor.party_key(F.col("party_name"))},
         trust=[F.coalesce("source_priority_rank", F.lit(2**31 - 1)), F.coalesce(-share, F.lit(2.0)), F.coalesce(-F.unix_micros(F.col("curated_at_utc").cast("timestamp")), F.lit(2**62))],
-        bundles=bundles, dependencies=[survivor.Dependency("doc", "standing", "source_priority")],
+        bundles=bundles, dependencies=dependencies,
     )
 
 
 def p3_merged(spark: SparkSession, folder: str) -> DataFrame:
-    """One record per term, each bundle of fields from the most trusted record that has it whole."""
+    """One record per term, in whole bundles of fields: the combination that gives up least trust."""
     return _merged_terms(spark, folder)
 
 
@@ -133,6 +136,36 @@ select min(term_id) as group_id, min(term_id) filter (pos = 1) as best_id,
   coalesce(arg_min(term_id, pos) filter (year(event_date) between 2010 and 2030), -1) as date_term_id,
   coalesce(arg_min(term_id, pos) filter (regexp_full_match(source_doc_id, 'D[0-9]{8}')), -1) as doc_term_id
 from o group by stock_code, event_type, party having count(*) > 1""",
+    "p3_merged": _TERMS
+    + """,
+g as (select *, min(term_id) over (partition by stock_code, event_type, party) as gid, count(*) over (partition by stock_code, event_type, party) as "rows",
+  case when isnan(confidence) then null else confidence end as some_conf from o),
+docs as (select gid, pos, source_doc_id, source_priority from g where regexp_full_match(source_doc_id, 'D[0-9]{8}') qualify row_number() over (partition by gid order by pos) = 1),
+passages as (
+  select p.gid, min(p.pos) as pos from g p left join docs d using (gid)
+  where p.source_page > 0 and trim(p.source_text) <> '' and (d.gid is null or p.source_doc_id = d.source_doc_id) group by p.gid),
+standings as (select *, row_number() over (partition by gid order by pos) - 1 as place from (
+  select gid, source_priority as cls, min(pos) as pos from g where source_priority is not null and source_priority_rank is not null group by 1, 2)),
+reviews as (select *, row_number() over (partition by gid order by pos) - 1 as place from (
+  select gid, source_priority as cls, min(pos) as pos from g where status is not null and some_conf is not null group by 1, 2)),
+firsts as (select gid, arg_min(pos, place) as pos from reviews group by gid),
+chosen as (
+  select s.gid, s.pos as standing_pos, r.pos as review_pos from standings s left join reviews r on r.gid = s.gid and r.cls = s.cls left join docs d on d.gid = s.gid
+  where d.source_priority is null or d.source_priority = s.cls
+  qualify row_number() over (partition by s.gid order by 3 * s.place + 2 * coalesce(r.place, 1000000), s.place) = 1),
+picked as (
+  select gid, any_value(stock_code) as stock_code, any_value(event_type) as event_type, any_value(party) as party_key, any_value("rows") as "rows",
+    min(pos) filter (year(event_date) between 2010 and 2030) as date_pos, min(pos) filter (shares > 0) as stake_pos, min(pos) filter (lockup_months >= 0) as lockup_pos
+  from g where "rows" > 1 group by gid)
+select k.stock_code, k.event_type, k.party_key, k.gid as group_id, b.term_id as best_id, k."rows",
+  coalesce(a.term_id, -1) as date_id, a.event_date, coalesce(e.term_id, -1) as doc_id, e.source_doc_id, e.source_url,
+  coalesce(f.term_id, -1) as passage_id, f.source_page, f.source_text, coalesce(h.term_id, -1) as standing_id, h.source_priority, h.source_priority_rank,
+  coalesce(i.term_id, -1) as review_id, i.status, i.confidence, coalesce(j.term_id, -1) as stake_id, j.shares, j.pct_of_offer, j.pct_of_share_capital,
+  coalesce(l.term_id, -1) as lockup_id, l.lockup_months
+from picked k join g b on b.gid = k.gid and b.pos = 1 left join docs d on d.gid = k.gid left join passages q on q.gid = k.gid left join chosen c on c.gid = k.gid left join firsts t on t.gid = k.gid
+  left join g a on a.gid = k.gid and a.pos = k.date_pos left join g e on e.gid = k.gid and e.pos = d.pos left join g f on f.gid = k.gid and f.pos = q.pos
+  left join g h on h.gid = k.gid and h.pos = c.standing_pos left join g i on i.gid = k.gid and i.pos = case when c.gid is null then t.pos else c.review_pos end
+  left join g j on j.gid = k.gid and j.pos = k.stake_pos left join g l on l.gid = k.gid and l.pos = k.lockup_pos""",
     "p4_found": """
 select probe_id, arg_min(tick_id, (gap, tick_id)) as tick_id from (
   select p.probe_id, t.tick_id, abs(epoch_us(t.time) - epoch_us(p.probe_time)) as gap, p.tolerance_ms * 1000 as tol
