@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,32 @@ def session(master: str = "local[*]", app: str = "tessera", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir).
+
+    Where it is unset, a session on this machine (master local) gets a temporary folder; on a cluster it is an error,
+    since a folder of the driver's machine could not be read by the executors.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = existing.get() if existing.isDefined() else tempfile.mkdtemp(prefix="tessera-")
+        if existing.isDefined():
+            path = existing.get()
+        elif spark.sparkContext.master.startswith("local"):
+            path = tempfile.mkdtemp(prefix="tessera-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for one run in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
