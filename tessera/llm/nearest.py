@@ -1,19 +1,24 @@
 """Pairing each record with the nearest record in time of the same entity, within a tolerance.
 
-Time is cut into buckets as wide as the largest tolerance, so the nearest candidate of a probe lies in its own bucket
-or an adjacent one. Probes go to these three buckets, candidates to their own, and the two sides of a bucket are joined by
-merging them in time order: each probe takes the last candidate before it and the first one after it. No pairs are
-formed, so a crowded bucket costs what it holds, not the product of its sides. A bucket with too many candidates is
-salted: the candidates are spread, each salt is searched, and the nearest over all salts is kept.
+Time is cut into buckets at least as wide as a probe's tolerance, so its nearest candidate lies in its own bucket or an adjacent one.
+Probes fall into classes of tolerance, each with its own width, so a wide probe does not widen the buckets of the others.
+Probes go to three buckets of their class; records go to their bucket in every class, unless no probe can have it: a filter of a
+fixed size keeps those out of the shuffle. The two sides of a bucket are joined by merging them in time order: each probe
+takes the last candidate before it and the first one after it. No pairs are formed, so a crowded bucket costs what it
+holds, not the product of its sides. A bucket with too many candidates is salted: the candidates are spread, each salt is
+searched, and the nearest over all salts is kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.skew import heavy_groups, salt_of
+from tessera.session import cut
+from tessera.skew import heavy_groups, may_match, salt_of
+
+#: Buckets of a class are at most this many times as wide as the tolerances in it.
+STEP = 8
 
 
 def _micros(c: str) -> Column:
@@ -36,20 +41,23 @@ def nearest_in_time(
         F.col(probe_id).cast("bigint").alias("pid"), _micros(probe_time).alias("at"), (F.col(tolerance_ms).cast("bigint") * 1000).alias("tol"),
         *[a.alias(n) for n, (a, _) in zip(names, keys, strict=True)],
     ).where(" and ".join(f"{n} is not null" for n in ("at", *names)) + " and tol >= 0")
-    widest = p.agg(F.max("tol")).first()[0]
-    width = F.lit(max(1, widest or 1))
+    # The class of a tolerance: the powers of STEP below it, so there are at most 22 in use.
+    level = sum((F.col("tol") > STEP**k).cast("int") for k in range(21))
+    p = p.withColumn("cls", level)
+    classes = sorted(x[0] for x in p.select("cls").distinct().collect())
     r = records.select(
         F.col(record_id).cast("bigint").alias("rid"), _micros(record_time).alias("at"), *[b.alias(n) for n, (_, b) in zip(names, keys, strict=True)]
     ).where(" and ".join(f"{n} is not null" for n in ("rid", "at", *names)))
-    floor = F.floor(F.col("at") / width)
-    r = r.withColumn("bucket", floor)
-    p = p.withColumn("bucket", F.explode(F.array(floor - 1, floor, floor + 1)))
-    group = [*names, "bucket"]
-    heavy = heavy_groups(r, group, hot_rows)
-    if heavy:
-        schema = T.StructType([*[f for f in r.schema.fields if f.name in group], T.StructField("rows_", T.LongType())])
-        schema = T.StructType(sorted(schema.fields, key=lambda f: [*group, "rows_"].index(f.name)))
-        hot = F.broadcast(r.sparkSession.createDataFrame(heavy, schema).withColumn("salts", F.ceil(F.col("rows_") / hot_rows).cast("int")).drop("rows_"))
+    own = lambda c: F.struct(F.lit(c).alias("cls"), F.floor(F.col("at") / F.lit(STEP**c)).alias("bucket"))
+    near = lambda c: F.array(*[F.struct(F.lit(c).alias("cls"), (F.floor(F.col("at") / F.lit(STEP**c)) + d).alias("bucket")) for d in (-1, 0, 1)])
+    buckets = F.coalesce(*[F.when(F.col("cls") == c, near(c)) for c in classes], near(0))
+    p = p.withColumn("b_", F.explode(buckets)).select("pid", "at", "tol", *names, "b_.cls", "b_.bucket")
+    r = r.withColumn("b_", F.explode(F.array(*map(own, classes or [0])))).select("rid", "at", *names, "b_.cls", "b_.bucket")
+    group = [*names, "cls", "bucket"]
+    r = cut(may_match(r, p, group))
+    hot = heavy_groups(r, group, hot_rows)
+    if hot is not None:
+        hot = hot.withColumn("salts", F.ceil(F.col("rows_") / hot_rows).cast("int")).drop("rows_")
         salts = F.coalesce("salts", F.lit(1))
         r = r.join(hot, group, "left").withColumn("salt", salt_of(F.col("rid"), salts)).drop("salts")
         p = p.join(hot, group, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
