@@ -4,6 +4,10 @@ Parents and children are put into one long table of tagged keys and grouped by p
 a child that no live parent precedes in its group is an orphan. A hot key does not make a hot group: children are
 first counted per key and load time on the map side, and a key's history is cut by period, where a parent that
 lives through the start of a period is carried into it as a row of its own.
+
+A flag per group would say whether a key ever has a parent; since a parent is live for a time only, the flag is the
+running number of live parents within the group, in order of time. The groups without one are written once; the report sums
+their counts, and the rows are found by them, so each child table is scanned twice and the parent once.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 
 @dataclass(frozen=True)
 class Parent:
@@ -62,7 +68,7 @@ def orphan_groups(parent: Parent, children: list[Child]) -> DataFrame:
     it starts, is never live. Repeated parents and children change nothing but the counts. With no children
     the result is empty; with no parents every child is an orphan.
     """
-    counted = _references(children).groupBy("table_name", "key", "at").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(_references(children).groupBy("table_name", "key", "at").agg(F.count(F.lit(1)).alias("n")))
     span = counted.agg(F.min("at"), F.max("at")).first()
     slot = lambda c: F.date_trunc("month", c).cast("timestamp_ntz")
     own = counted.select(F.lit(parent.name).alias("parent"), "key", slot(F.col("at")).alias("slot"), "at", F.lit(1).alias("kind"), F.lit(0).alias("delta"), "table_name", "n")
@@ -72,15 +78,14 @@ def orphan_groups(parent: Parent, children: list[Child]) -> DataFrame:
         .where("key <> '' and s is not null and (e is null or e > s)")
         .where((F.col("s") <= high) & (F.col("e").isNull() | (F.col("e") >= low)))
     )
-    months = F.sequence(
-        F.greatest(slot(low), F.add_months(slot(F.col("s")), 1).cast("timestamp_ntz")), slot(F.least(F.coalesce("e", high), high)), F.expr("interval 1 month")
-    )
-    has = slot(F.least(F.coalesce("e", high), high)) >= F.greatest(slot(low), F.add_months(slot(F.col("s")), 1).cast("timestamp_ntz"))
-    carried = life.where(has).select("key", F.explode(months).alias("at"), F.lit(1).alias("delta"))
-    begun = life.select("key", F.col("s").alias("at"), F.lit(1).alias("delta"))
-    ended = life.where("e is not null").select("key", F.col("e").alias("at"), F.lit(-1).alias("delta"))
+    # A parent's begin, its end, and the months it lives into.
+    first, last = F.greatest(slot(low), F.add_months(slot(F.col("s")), 1).cast("timestamp_ntz")), slot(F.least(F.coalesce("e", high), high))
+    carried = F.when(last >= first, F.transform(F.sequence(first, last, F.expr("interval 1 month")), lambda m: F.struct(m.alias("at"), F.lit(1).alias("delta"))))
+    ends = F.when(F.col("e").isNotNull(), F.array(F.struct(F.col("e").alias("at"), F.lit(-1).alias("delta"))))
+    none = F.array().cast("array<struct<at: timestamp_ntz, delta: int>>")
+    all_ = F.concat(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("delta"))), F.coalesce(ends, none), F.coalesce(carried, none))
     events = (
-        carried.unionAll(begun).unionAll(ended)
+        life.select("key", F.explode(all_).alias("e_")).select("key", "e_.at", "e_.delta")
         .groupBy("key", "at").agg(F.sum("delta").cast("int").alias("delta"))
         .select(F.lit(parent.name).alias("parent"), "key", slot(F.col("at")).alias("slot"), "at", F.lit(0).alias("kind"), "delta", F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("bigint").alias("n"))
     )
@@ -92,7 +97,7 @@ def orphan_groups(parent: Parent, children: list[Child]) -> DataFrame:
 
 def orphan_rows(parent: Parent, children: list[Child]) -> DataFrame:
     """The orphan rows themselves: table_name, period ('yyyy-MM' of the time), row_id."""
-    rows, groups = _references(children), orphan_groups(parent, children)
+    rows, groups = _references(children), cut(orphan_groups(parent, children))
     on = (rows.table_name == groups.table_name) & (rows.key == groups.key) & rows["at"].eqNullSafe(groups["at"])
     return rows.join(groups, on, "left_semi").select("table_name", F.date_format("at", "yyyy-MM").alias("period"), "row_id")
 

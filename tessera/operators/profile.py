@@ -1,13 +1,15 @@
 """Column profiles from maintained value counts.
 
-A store keeps, for every column of a table, how often each value occurs in each load, as signed deltas: a load adds
-its counts, a withdrawn or corrected load adds them with the opposite sign. Every metric is derived from these
-counts alone, exactly: null rate, distinct values, range, entropy, violations, and how far a load's values lie from
-those of all other loads together (whose counts are the column's total less the load's own).
+A store keeps, for every column of a table, how often each value occurs in each load, as signed deltas. Bringing a table
+up to date counts only the loads that are new (sign 1), takes back those that are gone from what is stored (sign -1) and
+replaces those that have changed (both). Every metric is derived from these counts alone, exactly: null rate, distinct
+values, range, entropy, violations, and how far a load's values lie from those of all other loads together (whose
+counts are the column's total less the load's own).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -15,18 +17,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import cut
+
 KEYS = ["table_name", "column_name", "load_id"]
 
 
 @dataclass(frozen=True)
 class Profiled:
-    """How a table is profiled: the column that names the load, the time of a load, columns that may not be negative."""
+    """How a table is profiled: the column that names the load, the time of a load, columns that may not be negative, the columns (all, if none are named)."""
 
     name: str
     load: str
     loaded_at: str
     not_negative: Sequence[str] = ()
-    skip: Sequence[str] = field(default_factory=tuple)
+    columns: Sequence[str] = field(default_factory=tuple)
+
+    def taken(self, df: DataFrame) -> list[T.StructField]:
+        """The columns to profile, without the one that names the load."""
+        return [f for f in df.schema.fields if f.name != self.load and (f.name in self.columns or not self.columns)]
 
 
 def _kind(t: T.DataType) -> str:
@@ -50,7 +58,7 @@ def value_counts(df: DataFrame, spec: Profiled) -> DataFrame:
     `number` is the value on a line (see _as_number); `rule` says whether the column may not be negative. The
     unpivoted rows are combined on the map side, so what is shuffled is the distinct values of each load.
     """
-    columns = [f for f in df.schema.fields if f.name != spec.load and f.name not in spec.skip]
+    columns = spec.taken(df)
     entries = F.array(*[
         F.struct(
             F.lit(f.name).alias("column_name"), F.lit(_kind(f.dataType)).alias("kind"), F.lit(f.name in spec.not_negative).alias("rule"),
@@ -62,27 +70,108 @@ def value_counts(df: DataFrame, spec: Profiled) -> DataFrame:
     return long.select(F.lit(spec.name).alias("table_name"), "load_id", "e_.*").groupBy(*KEYS, "kind", "rule", "value", "number").agg(F.count(F.lit(1)).alias("n"))
 
 
+COUNTS = "table_name string, column_name string, load_id bigint, kind string, rule boolean, value string, number double, n bigint"
+LOG = "table_name string, load_id bigint, mark string, sign int"
+#: Loads up to which a delta names them in a filter that reaches the scan; more are joined.
+NAMED_LOADS = 1000
+
+
 class ValueCounts:
-    """The persistent counts in a folder: one sub-folder per batch of deltas, written whole, so a repeated write is harmless."""
+    """The persistent counts in a folder that all executors share.
+
+    Every delta is a folder of its own that is written once and never changed, so a reader that has been declared stays
+    valid. A delta is counts and, written after them, a log of the loads they add or take back; without its log it does
+    not count, so a delta that broke off is as if it had not been. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, most_deltas: int = 32):
+        self.spark, self.path, self.most_deltas = spark, path.rstrip("/"), most_deltas
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def _folders(self, path: str) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
 
-    def apply(self, counts: DataFrame, batch: str, sign: int = 1) -> None:
-        """Add (sign 1) or take back (sign -1) counts under a batch name; the same name again replaces the batch."""
-        counts.withColumn("n", F.col("n") * sign).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def _base(self) -> str:
+        """The latest complete generation: compaction begins a new one."""
+        whole = [g for g in self._folders(self.path) if g.startswith("gen-") and self.deltas(g)]
+        return whole[-1] if whole else "gen-000000"
+
+    def deltas(self, base: str) -> list[str]:
+        """The complete deltas of a generation, in order."""
+        return [d for d in self._folders(f"{self.path}/{base}") if self._exists(f"{self.path}/{base}/{d}/log/_SUCCESS")]
+
+    def _read(self, what: str, schema: str) -> DataFrame:
+        base = self._base()
+        paths = [f"{self.path}/{base}/{d}/{what}" for d in self.deltas(base)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, base: str, counts: DataFrame, log: DataFrame) -> None:
+        to = f"{self.path}/{base}/delta-{len(self._folders(f'{self.path}/{base}')):06d}-{uuid.uuid4().hex[:8]}"
+        counts.sortWithinPartitions("table_name", "column_name").write.parquet(f"{to}/counts")
+        log.coalesce(1).write.parquet(f"{to}/log")
+
+    def loads(self) -> DataFrame:
+        """The loads that are in the counts: table_name, load_id, mark (what their rows were)."""
+        return self._read("log", LOG).groupBy("table_name", "load_id", "mark").agg(F.sum("sign").alias("sign")).where("sign > 0").drop("sign")
 
     def counts(self) -> DataFrame:
         """What all deltas come to; values whose count is 0 are gone. Nothing stored gives no rows."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], "table_name string, column_name string, load_id bigint, kind string, rule boolean, value string, number double, n bigint")
-        deltas = self.spark.read.parquet(self.path).drop("batch")
-        return deltas.groupBy(*KEYS, "kind", "rule", "value", "number").agg(F.sum("n").alias("n")).where("n <> 0")
-
-    def compact(self, batch: str = "base") -> None:
-        """Replace all deltas by one batch: written to a new folder beside the old one, which is then left to the caller to drop."""
-        self.counts().write.mode("overwrite").parquet(f"{self.path}-{batch}/batch={batch}")
+        return self._read("counts", COUNTS).groupBy(*KEYS, "kind", "rule", "value", "number").agg(F.sum("n").alias("n")).where("n <> 0")
+
+    def refresh(self, df: DataFrame, spec: Profiled) -> dict[str, int]:
+        """Bring one table up to date; how many loads were added and taken back (a changed one is both).
+
+        Loads are compared by their number of rows and the sum of their rows' hashes, combined on the map side. Only new
+        and changed loads are counted. A NULL load is a load like any other.
+        """
+        taken = [f.name for f in spec.taken(df)]
+        rows = df.select(F.col(spec.load).cast("bigint").alias("load_id"), *[F.col(f"`{c}`") for c in taken])
+        mark = F.concat_ws(":", F.count(F.lit(1)), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in taken]).cast("decimal(38,0)")))
+        now = cut(rows.groupBy("load_id").agg(mark.alias("mark")))
+        had = cut(self.loads().where(F.col("table_name") == spec.name).select(F.col("load_id").alias("l_"), F.col("mark").alias("m_")))
+        same = now["load_id"].eqNullSafe(had["l_"]) & (now["mark"] == had["m_"])
+        new, gone = cut(now.join(had, same, "left_anti")), cut(had.join(now, same, "left_anti"))
+        added, taken_back = new.count(), gone.count()
+        if not added and not taken_back:
+            return {"added": 0, "taken back": 0}
+        parts = []
+        if added:
+            parts.append(value_counts(_of_loads(df, F.col(spec.load).cast("bigint"), new.select("load_id"), added), spec))
+        if taken_back:
+            stored = self.counts().where(F.col("table_name") == spec.name)
+            parts.append(_of_loads(stored, F.col("load_id"), gone.select("l_"), taken_back).withColumn("n", -F.col("n")))
+        counts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        entry = lambda d, sign: d.toDF("load_id", "mark").select(F.lit(spec.name).alias("table_name"), "load_id", "mark", F.lit(sign).alias("sign"))
+        base = self._base()
+        self._write(base, counts, entry(new, 1).unionAll(entry(gone, -1)))
+        if len(self.deltas(base)) > self.most_deltas:
+            self.compact()
+        return {"added": added, "taken back": taken_back}
+
+    def compact(self) -> None:
+        """Begin a new generation with all deltas as one. The old one stays for its readers until the next compaction."""
+        base = self._base()
+        following = f"gen-{int(base[4:]) + 1:06d}"
+        self._write(following, self.counts(), self.loads().withColumn("sign", F.lit(1)))
+        for old in self._folders(self.path):
+            if old < base:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}")
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _of_loads(df: DataFrame, load: Column, loads: DataFrame, n: int) -> DataFrame:
+    """Rows of some loads: named in a filter, so that the scan can leave out the others, or joined if they are many."""
+    if n <= NAMED_LOADS:
+        names = [r[0] for r in loads.collect()]
+        some = load.isin([x for x in names if x is not None])
+        return df.where(some | load.isNull() if None in names else some)
+    one = loads.toDF("only_")
+    return df.join(one, load.eqNullSafe(one["only_"]), "left_semi")
 
 
 def profile(counts: DataFrame) -> DataFrame:
@@ -112,7 +201,7 @@ class DriftRules:
     share: excess of NULLs, violations or values in bins the other loads hardly have (less than `rare` of theirs).
     z: the same in binomial standard deviations. ks and ks_z: greatest gap between the cumulative distributions,
     and that gap times the root of the rows. top: excess share of the commonest value over twice the usual one. crowd: for
-    dates, how many times the usual rows of the commonest date (a short week has fewer dates, not fuller ones).
+    dates, how many times the rows of the commonest date that loads near by have (a short week has fewer dates, not fuller ones).
     """
 
     share: float = 0.12
@@ -121,7 +210,7 @@ class DriftRules:
     ks: float = 0.25
     ks_z: float = 2.6
     top: float = 0.15
-    crowd: float = 2.5
+    crowd: float = 1.5
     least_rows: int = 8
 
 
@@ -146,7 +235,7 @@ def drift(counts: DataFrame, loads: Mapping[str, str]) -> DataFrame:
 
     loads: the column of each table that holds the time of a load. Gives KEYS, kind, rows, and for the load (p) and the others
     (q): null and violation rates; novelty (share in bins that are rare elsewhere), ks (greatest cumulative gap),
-    top_share and top_rows of the commonest value, with the usual ones of the other loads. A column's bins are
+    top_share and top_rows of the commonest value, with the usual ones of the other loads (rows: of the four before and after). A column's bins are
     few (half octaves, days, forms), so the tables here are bins times loads.
     """
     binned = _bins(counts, loads)
@@ -157,9 +246,10 @@ def drift(counts: DataFrame, loads: Mapping[str, str]) -> DataFrame:
         F.max(F.when(F.col("value").isNotNull(), n)).alias("top_rows"), F.count("value").alias("distinct_values"),
     )
     column = Window.partitionBy("table_name", "column_name")
+    beside = column.orderBy("load_id").rowsBetween(-4, 4)
     per = per.withColumns({f"all_{c}": F.sum(c).over(column) for c in ("rows", "nulls", "bad")})
     per = per.withColumn("top_share", F.col("top_rows") / (F.col("rows") - F.col("nulls")))
-    per = per.withColumns({"usual_top_share": F.expr("percentile(top_share, 0.5)").over(column), "usual_top_rows": F.expr("percentile(top_rows, 0.5)").over(column)})
+    per = per.withColumns({"usual_top_share": F.expr("percentile(top_share, 0.5)").over(column), "usual_top_rows": F.expr("percentile(top_rows, 0.5)").over(beside)})
     own = binned.where("bin is not null").groupBy(*KEYS, "bin").agg(F.sum("n").alias("n"))
     pooled = own.groupBy("table_name", "column_name", "bin").agg(F.sum("n").alias("all_n"))
     grid = per.select(*KEYS, (F.col("rows") - F.col("nulls")).alias("m"), (F.col("all_rows") - F.col("all_nulls")).alias("all_m")).join(pooled, ["table_name", "column_name"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,27 +71,28 @@ MICRO = profile.Profiled("micro_features_daily", "load_id", "loaded_at_utc", ("n
 WATCHED = (("tick_manifest_target", "trade_rows"), ("tick_manifest_target", "invalid_size_rows"), ("micro_features_daily", "trading_date"))
 
 
-def _maintained_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Value counts of both tables, kept in the shared folder: one batch of deltas per table, replaced when it is loaded again."""
-    name = f"{shared_dir(spark).rstrip('/')}/value-counts-{hashlib.md5(folder.encode()).hexdigest()[:12]}"
-    store = profile.ValueCounts(spark, name)
-    for spec in (MANIFEST, MICRO):
-        store.apply(profile.value_counts(table(spark, folder, spec.name), spec), spec.name)
+def _maintained_counts(spark: SparkSession, folder: str, *specs: profile.Profiled) -> DataFrame:
+    """Value counts of tables, kept in the shared folder and brought up to date load by load.
+
+    There is a store for each folder and choice of columns; the first query counts all loads, a later one only those that are new or changed.
+    """
+    name = hashlib.md5(repr((folder, specs)).encode()).hexdigest()[:16]
+    store = profile.ValueCounts(spark, f"{shared_dir(spark).rstrip('/')}/value-counts-{name}")
+    for spec in specs:
+        store.refresh(table(spark, folder, spec.name), spec)
     return store.counts()
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Loads in which one of the watched columns clearly differs from the other loads."""
-    counts = _maintained_counts(spark, folder)
-    watched = " or ".join(f"(table_name = '{t}' and column_name = '{c}')" for t, c in WATCHED)
-    needed = counts.where(f"{watched} or column_name in ('{MANIFEST.loaded_at}', '{MICRO.loaded_at}')")
-    found = profile.differing_loads(needed, {s.name: s.loaded_at for s in (MANIFEST, MICRO)})
-    return found.where(watched).select("table_name", "column_name", "load_id")
+    specs = [replace(s, columns=(*[c for t, c in WATCHED if t == s.name], s.loaded_at)) for s in (MANIFEST, MICRO)]
+    found = profile.differing_loads(_maintained_counts(spark, folder, *specs), {s.name: s.loaded_at for s in specs})
+    return found.where(F.col("column_name").isin([c for _, c in WATCHED])).select("table_name", "column_name", "load_id")
 
 
 def p5_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The exact profile of every column of both tables per load."""
-    return profile.profile(_maintained_counts(spark, folder))
+    return profile.profile(_maintained_counts(spark, folder, MANIFEST, MICRO))
 
 
 def p6_trailing(spark: SparkSession, folder: str) -> DataFrame:

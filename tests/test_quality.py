@@ -99,14 +99,11 @@ def _loads(spark, loads=12, rows=40, seed=0, change=None):
     return spark.createDataFrame(out, "load bigint, n bigint, day date, s string, at timestamp_ntz")
 
 
-def test_profile_is_exact_and_deltas_cancel(spark, tmp_path):
+def test_profile_is_exact(spark, tmp_path):
     df = _loads(spark, 3)
     store = profile.ValueCounts(spark, str(tmp_path / "store"))
-    assert store.counts().count() == 0
-    store.apply(profile.value_counts(df, SPEC), "first")
-    store.apply(profile.value_counts(df.limit(10), SPEC), "more")
-    store.apply(profile.value_counts(df.limit(10), SPEC), "withdrawn", sign=-1)
-    store.apply(profile.value_counts(df, SPEC), "first")  # a repeated batch replaces itself
+    assert store.counts().count() == 0 and store.loads().count() == 0
+    assert store.refresh(df, SPEC) == {"added": 3, "taken back": 0}
     got = {(r["column_name"], r["load_id"]): r for r in profile.profile(store.counts()).collect()}
     rows = df.collect()
     for load in range(3):
@@ -120,9 +117,54 @@ def test_profile_is_exact_and_deltas_cancel(spark, tmp_path):
             counts[x["s"]] = counts.get(x["s"], 0) + 1
         m = 40 - counts.get(None, 0)
         assert s["nulls"] == counts.get(None, 0) and s["entropy"] == pytest.approx(-sum(c / m * math.log2(c / m) for v, c in counts.items() if v), abs=1e-6)
-    store.compact()
-    compacted = profile.ValueCounts(spark, str(tmp_path / "store-base"))
-    assert compacted.counts().count() == store.counts().count()
+
+
+def _counted(df):
+    return sorted(map(tuple, profile.value_counts(df, SPEC).collect()), key=repr)
+
+
+def test_deltas_follow_new_changed_and_withdrawn_loads(spark, tmp_path):
+    df = _loads(spark, 6).cache()
+    store = profile.ValueCounts(spark, str(tmp_path / "store"), most_deltas=3)
+    kept = lambda: sorted(map(tuple, store.counts().select(*profile.value_counts(df, SPEC).columns).collect()), key=repr)
+    first = df.where("load < 4")
+    assert store.refresh(first, SPEC) == {"added": 4, "taken back": 0} and kept() == _counted(first)
+    declared = store.counts()
+    assert store.refresh(first, SPEC) == {"added": 0, "taken back": 0} and len(store.deltas("gen-000000")) == 1
+    more = df.where("load < 5")
+    assert store.refresh(more, SPEC) == {"added": 1, "taken back": 0} and kept() == _counted(more)
+    delta = spark.read.parquet(f"{tmp_path}/store/gen-000000/{store.deltas('gen-000000')[1]}/counts")
+    assert [r[0] for r in delta.select("load_id").distinct().collect()] == [4]  # the delta of load 4 has load 4 only
+    changed = more.where("load <> 1").unionByName(df.where("load = 1").withColumn("n", F.col("n") + 1)).unionByName(df.where("load = 5"))
+    assert store.refresh(changed, SPEC) == {"added": 2, "taken back": 1} and kept() == _counted(changed)
+    less = changed.where("load <> 3").unionByName(df.limit(5).withColumn("load", F.lit(None).cast("bigint")))
+    assert store.refresh(less, SPEC) == {"added": 1, "taken back": 1} and kept() == _counted(less)  # and is compacted now
+    assert store._base() == "gen-000001" and len(store.deltas("gen-000001")) == 1
+    assert store.refresh(less.where("load is not null"), SPEC) == {"added": 0, "taken back": 1} and kept() == _counted(less.where("load is not null"))
+    assert declared.count() == len(_counted(first))  # what was declared before still reads what it was declared over
+
+
+def test_a_load_is_added_with_a_filter_on_the_scan(spark, tmp_path):
+    _loads(spark, 3).write.partitionBy("load").parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    one = profile._of_loads(df, F.col("load").cast("bigint"), spark.range(2, 3), 1)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(load" in plan and one.count() == 40
+    many = profile._of_loads(df, F.col("load").cast("bigint"), spark.range(2, 3), profile.NAMED_LOADS + 1)
+    assert many.count() == 40
+
+
+def test_all_rows_of_a_short_week_on_one_date_are_found_and_a_week_of_one_day_is_not(spark):
+    def crowd(r, i):
+        if r["load"] == 7:
+            r["day"] = dt.date(2026, 2, 20)
+
+    df = _loads(spark, rows=60, change=crowd)
+    short = df.where("load <> 7 or dayofweek(at) > 0").withColumn("k", F.monotonically_increasing_id())
+    two_days = short.where("load <> 7").unionByName(short.where("load = 7").limit(24)).drop("k")
+    one_day = short.where("load <> 7").unionByName(short.where("load = 7").limit(12)).drop("k")
+    found = lambda d: [r["load_id"] for r in profile.differing_loads(profile.value_counts(d, SPEC), {"t": "at"}).where("column_name = 'day'").collect()]
+    assert found(two_days) == [7] and found(one_day) == []
 
 
 @pytest.mark.parametrize(
