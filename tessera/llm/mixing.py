@@ -3,7 +3,8 @@
 A document belongs to its own source and to those of its copies. Documents with the same membership form one pattern;
 the flow sends tokens from patterns to the quotas of sources. Each further use of a pattern's documents costs more
 than the one before (so repetition is spread evenly and comes last), and counting a document for a copy's source costs
-a little. The network has a node per pattern and source, whatever the number of documents. Its solution says how many
+a little. Within a mix only its own sources count, so patterns are the sets of these that occur, whatever the number of
+documents and of other sources; the network has a node per pattern and source. Its solution says how many
 tokens of each pattern go to each source; documents are then taken in a seeded order, found by prefix sums in two steps.
 """
 
@@ -16,9 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns and targets the driver may hold; more are an error, never dropped.
-MOST_PATTERNS = 20_000
-BUCKETS = 4096
+#: Patterns and targets the driver may hold; more are an error, never dropped. A mix of k sources has at most 2 ** k sets of members.
+MOST_PATTERNS = 100_000
+#: Documents of a pattern that are put in order by one task, on average.
+BUCKET_ROWS = 50_000
 
 
 class Network:
@@ -176,47 +178,68 @@ def source_key(source: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(source)), "[-_\\s]+", "_"), F.lit(""))
 
 
-def memberships(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
-    """id, own source and the sorted sources of all copies of a text. NULL or empty texts have no copies.
+def memberships(docs: DataFrame, id: str = "id", copy: str = "copy", own: str = "own", some: str = "some") -> DataFrame:
+    """The rows of `docs` with `members`, the sorted sources of all copies of a text. Texts that are not `some` (NULL or empty) have no copies.
 
-    Texts are compared by a hash of 128 bits. The sources of a text are combined on the map side, so a text that
+    `copy` identifies a text (see text_key). The sources of a text are combined on the map side, so a text that
     a third of all rows repeat is a few rows; only texts with several sources are joined back.
     """
-    rows = docs.select(F.col(id).alias("id"), F.md5(F.col(text).cast("binary")).alias("copy"), source_key(F.col(source)).alias("own"), (F.length(text) > 0).alias("some"))
-    shared = rows.where("some").groupBy("copy").agg(F.sort_array(F.collect_set("own")).alias("members")).where(F.size("members") > 1)
-    alone = F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.array().cast("array<string>"))
-    return rows.join(shared, "copy", "left").select("id", "own", F.coalesce("members", alone).alias("members"))
+    shared = docs.where(some).groupBy(copy).agg(F.sort_array(F.collect_set(own)).alias("members")).where(F.size("members") > 1)
+    alone = F.when(F.col(own).isNotNull(), F.array(own)).otherwise(F.array().cast("array<string>"))
+    return docs.join(shared, copy, "left").withColumn("members", F.coalesce("members", alone)).select(id, own, "members", *[c for c in docs.columns if c not in (id, own, copy, some)])
+
+
+def text_key(text: Column) -> Column:
+    """What identifies a text: a hash of 128 bits."""
+    return F.md5(text.cast("binary"))
+
+
+def goals_of(targets: DataFrame) -> DataFrame:
+    """Targets by normalised source; rows whose sources become equal are one, with their shares together and the fewest repeats."""
+    named = targets.select("mix_name", source_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), "max_repeats")
+    return named.groupBy("mix_name", "source").agg(F.sum("share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 7, least: float = 0.1) -> DataFrame:
     """Uses of documents per mix: mix_name, id, counted_as (a source), uses, tokens (of one use).
 
-    docs: id, own, members (see memberships) and tokens. targets: mix_name, source, target_share, max_repeats. A document
-    is used at most max_repeats times for a source and, over all sources, at most the largest max_repeats of
-    its own. Documents without tokens or source are never used; ids must be unique. Shares are met to within a document.
+    docs: id, own, members (see memberships) and tokens. targets: mix_name, source, target_share, max_repeats. least: a source that
+    would shrink the mix below this share of all tokens gives only what it has (0: every source has its share, however
+    small the mix). A document is used at most max_repeats times for a source and, over all sources, at most the largest
+    max_repeats of its own. Documents without tokens or source are never used; ids must be unique. Shares are met to
+    within a document.
     """
-    goals = targets.select("mix_name", source_key(F.col("source")).alias("source"), "target_share", "max_repeats").limit(MOST_PATTERNS + 1).collect()
-    docs = docs.where("tokens > 0 and size(members) > 0").withColumn("pattern", F.concat_ws("|", F.coalesce("own", F.lit("")), F.array_join("members", ",")))
-    totals = docs.groupBy("pattern", "own", "members").agg(F.sum("tokens").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
-    if len(goals) > MOST_PATTERNS or len(totals) > MOST_PATTERNS:
-        raise ValueError("more targets or membership patterns than the driver may hold")
-    totals = sorted(totals, key=lambda r: r["pattern"])
-    patterns = [Pattern(r["own"] or "", tuple(r["members"]), int(r["tokens"])) for r in totals]
+    spark = docs.sparkSession
+    goals = goals_of(targets).limit(MOST_PATTERNS + 1).collect()
+    if len(goals) > MOST_PATTERNS:
+        raise ValueError("more targets than the driver may hold")
+    mixes = {name: {g["source"]: g for g in goals if g["mix_name"] == name and g["source"]} for name in sorted({g["mix_name"] for g in goals})}
+    # Each document once for every mix that has one of its sources, with the mix's sources only.
+    texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    offers = F.array(*[F.struct(F.lit(name).alias("mix_name"), F.array_intersect("members", texts(sorted(of))).alias("members")) for name, of in mixes.items()]) if mixes else F.array().cast("array<struct<mix_name: string, members: array<string>>>")
+    docs = docs.where("tokens > 0 and size(members) > 0")
+    rows = docs.select("id", "own", "tokens", F.explode(F.filter(offers, lambda o: F.size(o["members"]) > 0)).alias("o_")).select("id", "tokens", "own", "o_.mix_name", "o_.members")
+    rows = rows.withColumn("own", F.when(F.array_contains("members", F.col("own")), F.col("own")).otherwise(F.lit("")))
+    rows = rows.withColumn("pattern", F.concat_ws("|", "mix_name", "own", F.array_join("members", ",")))
+    totals = rows.groupBy("pattern", "mix_name", "own", "members").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()
+    if len(totals) > MOST_PATTERNS:
+        raise ValueError("more membership patterns than the driver may hold")
     lines = []
-    for name in sorted({g["mix_name"] for g in goals}):
-        of = {g["source"]: g for g in goals if g["mix_name"] == name}
-        flow = plan_mix(patterns, {s: float(g["target_share"]) for s, g in of.items()}, {s: int(g["max_repeats"]) for s, g in of.items()}, least)
-        for i, p in enumerate(patterns):
+    for name, of in mixes.items():
+        own = sorted((t for t in totals if t["mix_name"] == name), key=lambda t: t["pattern"])
+        patterns = [Pattern(t["own"], tuple(t["members"]), int(t["tokens"])) for t in own]
+        flow = plan_mix(patterns, {s: float(g["target_share"] or 0) for s, g in of.items()}, {s: int(g["max_repeats"] or 0) for s, g in of.items()}, least)
+        for i, (t, p) in enumerate(zip(own, patterns, strict=True)):
             at = 0
             for s in sorted(of):
                 n = flow.get((i, s), 0)
                 if n:
-                    lines.append((name, totals[i]["pattern"], s, at, at + n, p.tokens))
+                    lines.append((t["pattern"], s, at, at + n, p.tokens))
                     at += n
-    spark = docs.sparkSession
-    cuts = spark.createDataFrame(lines, "mix_name string, pattern string, counted_as string, low bigint, high bigint, all_tokens bigint")
-    # A pattern's documents in a seeded order; the tokens before each document from sums per bucket, then within it.
-    rows = docs.select("id", "pattern", "tokens", F.xxhash64(F.lit(seed), "id").alias("turn")).withColumn("bucket", F.pmod(F.shiftright("turn", 8), F.lit(BUCKETS)))
+    cuts = spark.createDataFrame(lines, "pattern string, counted_as string, low bigint, high bigint, all_tokens bigint")
+    # A pattern's documents in a seeded order: that of a hash, whose upper bits make as many buckets as the largest pattern needs.
+    bits = max(0, (max((t["n"] for t in totals), default=0) // BUCKET_ROWS)).bit_length()
+    rows = rows.select("id", "pattern", "mix_name", "tokens", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 1).alias("turn")).withColumn("bucket", F.shiftright("turn", 63 - bits))
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("pattern", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -233,12 +256,12 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 7, least: float = 0.
 
 
 def shares(uses: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix and source: target and actual share of all tokens, tokens, documents, and the most uses of one document."""
+    """Per mix and source: target and actual share of all tokens, tokens, documents, the most uses of one document, and the tokens short of the target share."""
     got = uses.groupBy("mix_name", F.col("counted_as").alias("source")).agg(
         F.sum(F.col("uses") * F.col("tokens")).alias("tokens"), F.count_distinct("id").alias("documents"), F.max("uses").alias("most_uses")
     )
-    goal = targets.select("mix_name", source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
-    all_ = Window.partitionBy("mix_name")
-    out = goal.join(got, ["mix_name", "source"], "left").na.fill(0, ["tokens", "documents", "most_uses"])
-    return out.withColumn("actual_share", F.round(F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(all_)), 6))
-
+    all_ = F.sum("tokens").over(Window.partitionBy("mix_name"))
+    out = goals_of(targets).join(got, ["mix_name", "source"], "left").na.fill(0, ["tokens", "documents", "most_uses"])
+    return out.withColumn("actual_share", F.round(F.try_divide(F.col("tokens").cast("double"), all_), 6)).withColumn(
+        "missing_tokens", F.greatest(F.floor(F.col("target_share") * all_).cast("bigint") - F.col("tokens"), F.lit(0))
+    )

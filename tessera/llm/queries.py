@@ -78,17 +78,30 @@ SEGMENT_TOKENS = 16
 MOST_PLANS = 1000
 
 
-def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """The sequence of every document, or of each piece of one longer than a sequence, for each plan."""
+def _packed(spark: SparkSession, folder: str, max_loss) -> DataFrame:
     plans = [(r[0], int(r[1])) for r in table(spark, folder, "pack_capacities").where("capacity_tokens > 0").select("plan_name", "capacity_tokens").limit(MOST_PLANS + 1).collect()]
     if len(plans) > MOST_PLANS:
         raise ValueError("too many plans")
     counted = cut(tokens.with_tokens(table(spark, folder, "documents"), "text", {"doc_id": F.col("doc_id")}, lead=True))
     items = packing.pieces(counted, plans, ["doc_id"], "tokens", "lead_tokens")
-    packed = packing.pack(items, id="doc_id", max_segments=F.greatest(F.lit(1), F.col("capacity") / SEGMENT_TOKENS), max_loss=F.col("capacity"))
+    packed = packing.pack(items, id="doc_id", max_segments=F.greatest(F.lit(1), F.col("capacity") / SEGMENT_TOKENS), max_loss=max_loss)
     return packed.select(F.col("plan").alias("plan_name"), "doc_id", "piece", "start", F.col("size").alias("tokens"), F.col("loss").alias("loss_tokens"), "sequence_id")
 
 
+def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequence of every document, or of each piece of one longer than a sequence, for each plan."""
+    return _packed(spark, folder, F.col("capacity"))
+
+
+#: For training on answers: at most this share of a sequence bears loss.
+LOSS_SHARE = 0.75
+
+
+def p7_packing_loss(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a limit on loss-bearing tokens that binds: three quarters of the capacity. A piece beyond it is alone in its sequence."""
+    return _packed(spark, folder, F.floor(F.col("capacity") * LOSS_SHARE))
+
+
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences, tokens and the share of room used, per plan."""
     plans = table(spark, folder, "pack_capacities")
@@ -96,12 +109,31 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packed.join(plans, "plan_name").select("plan_name", "sequences", "tokens", "documents", F.round(F.col("tokens") / (F.col("sequences") * F.col("capacity_tokens")), 6).alias("filled"))
 
 
+def _packing_faults(packed: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Per plan: documents and texts in sequences, sequences beyond a limit, documents split without need or with a piece missing or twice."""
+    plans = table(spark, folder, "pack_capacities")
+    seq = packed.groupBy("plan_name", "sequence_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).join(plans, "plan_name")
+    over = seq.groupBy("plan_name").agg(F.count_if((F.col("t") > F.col("capacity_tokens")) | (F.col("n") > F.greatest(F.lit(1), F.col("capacity_tokens") / SEGMENT_TOKENS))).alias("overfull"))
+    docs = packed.groupBy("plan_name", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.count_distinct("piece").alias("pieces")).join(plans, "plan_name")
+    whole = (F.col("n") == F.ceil(F.col("t") / F.col("capacity_tokens"))) & (F.col("pieces") == F.col("n")) & (F.col("last") == F.col("n") - 1)
+    return docs.groupBy("plan_name").agg(F.count(F.lit(1)).alias("documents"), F.count_if(~whole).alias("split_wrongly")).join(over, "plan_name")
+
+
+def p7_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """What the packing must not do, counted: every document with a text is in sequences, none beyond its limits or split without need."""
+    return _packing_faults(p7_packing(spark, folder), spark, folder)
+
+
 def _mixed(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    # The copies of a text are found before the token counts, which are kept: both are needed more than once.
-    members = mixing.memberships(docs, "doc_id", "text", "source")
-    counted = tokens.with_tokens(docs, "text", {"id": F.col("doc_id")})
-    return mixing.mix(cut(members.join(counted, "id")), table(spark, folder, "mix_targets"))
+    text, source = F.col("text"), F.col("source")
+    carry = {"id": F.col("doc_id"), "copy": mixing.text_key(text), "own": mixing.source_key(source), "some": F.coalesce(F.length(text) > 0, F.lit(False))}
+    # One pass over the texts: their tokens, and what finds their copies.
+    counted = cut(tokens.with_tokens(table(spark, folder, "documents"), "text", carry))
+    return mixing.mix(mixing.memberships(counted), table(spark, folder, "mix_targets"), least=LEAST_MIX)
+
+
+#: A source that would shrink a mix below this share of all tokens gives only what it has.
+LEAST_MIX = 0.1
 
 
 def p8_uses(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,15 +142,35 @@ def p8_uses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Target and actual shares of each mix."""
+    """Target and actual shares of each mix, and the tokens that sources could not give."""
     return mixing.shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p8_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix must not do, counted per mix: documents used too often, or for a source that no copy of their text has; sources with documents and a share that are not used."""
+    docs = table(spark, folder, "documents").select("doc_id", mixing.text_key(F.col("text")).alias("copy"), mixing.source_key(F.col("source")).alias("source"))
+    goals = mixing.goals_of(table(spark, folder, "mix_targets"))
+    uses = p8_uses(spark, folder).withColumnRenamed("source", "counted_as")
+    used = uses.join(docs.select("doc_id", "copy"), "doc_id").join(docs.where("copy is not null").select("copy", F.col("source").alias("counted_as"), F.lit(True).alias("held")).distinct(), ["copy", "counted_as"], "left")
+    per = used.join(goals.withColumnRenamed("source", "counted_as"), ["mix_name", "counted_as"])
+    faults = per.groupBy("mix_name").agg(F.count_if(F.col("uses") > F.col("max_repeats")).alias("used_too_often"), F.count_if(F.col("held").isNull()).alias("foreign"), F.count_distinct("counted_as").alias("sources_used"))
+    return faults.select("mix_name", "used_too_often", "foreign", "sources_used")
+
+
+def p9_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain counts behind the ratios, per document with a text."""
+    return p9_stats(spark, folder).where("is_prose is not null").select("doc_id", "word_count", "mean_word_length", "punct_line_share")
+
+
 QUERIES = {
-    "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p7_packing": p7_packing, "p7_fill": p7_fill,
-    "p8_uses": p8_uses, "p8_shares": p8_shares, "p9_found": p9_found, "p9_stats": p9_stats,
+    "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p7_packing": p7_packing, "p7_packing_loss": p7_packing_loss, "p7_fill": p7_fill, "p7_faults": p7_faults,
+    "p8_uses": p8_uses, "p8_shares": p8_shares, "p8_faults": p8_faults, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts,
 }
 
+_CJK = "㐀-鿿豈-\\x{FAFF}"
+#: White space as Python has it, with and without the line feed.
+_INLINE = "\\t\\x{0b}-\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_SPACE = "\\n" + _INLINE
 _TERMS = """
 with t as (
   select *, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(party_name), '[.''’]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')),
@@ -173,4 +225,16 @@ select probe_id, arg_min(tick_id, (gap, tick_id)) as tick_id from (
     and t.time between p.probe_time - interval 1 millisecond * p.tolerance_ms and p.probe_time + interval 1 millisecond * p.tolerance_ms
   where t.value > 0 and not isnan(t.value))
 where gap <= tol group by probe_id""",
+    # Every text that is not empty has a token at least.
+    "p7_faults": """
+select plan_name, (select count(*) from documents where length(text) > 0) as documents, 0 as split_wrongly, 0 as overfull from pack_capacities""",
+    "p8_faults": """
+with s as (select case when trim(source) = '' then null else regexp_replace(lower(trim(source)), '[-_\\s]+', '_', 'g') end as source from documents where length(text) > 0),
+t as (select mix_name, regexp_replace(lower(trim(source)), '[-_\\s]+', '_', 'g') as source, sum(target_share) as share from mix_targets group by 1, 2)
+select mix_name, 0 as used_too_often, 0 as foreign, count(*) filter (share > 0 and source in (select source from s where source is not null)) as sources_used from t group by mix_name""",
+    "p9_counts": f"""
+with d as (select doc_id, text, regexp_replace(text, '[{_CJK}]', ' ', 'g') as plain, len(regexp_extract_all(text, '[{_CJK}]')) as cjk from documents where regexp_matches(text, '[^{_SPACE}]')),
+c as (select doc_id, cjk + len(regexp_extract_all(plain, '[^{_SPACE}]+')) as words, len(regexp_extract_all(text, '[^{_SPACE}]')) as chars,
+  len(regexp_extract_all(text, '[^{_SPACE}][^\\n]*')) as lines, len(regexp_extract_all(text || chr(10), '[.!?。！？;；:：…"”’」』][{_INLINE}]*\\n')) as ended from d)
+select doc_id, words as word_count, round(chars / words, 6) as mean_word_length, round(ended / lines, 6) as punct_line_share from c""",
 }

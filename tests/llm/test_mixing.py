@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing
 from tessera.llm.mixing import Network, Pattern, plan_mix, route
@@ -79,11 +80,15 @@ def test_a_mix_that_cannot_be_made_is_an_error():
 DOCS = "doc_id bigint, text string, source string, tokens bigint, own string"
 
 
+def _keyed(d):
+    return d.select(d.doc_id.alias("id"), mixing.text_key(d.text).alias("copy"), mixing.source_key(d.source).alias("own"), F.coalesce(F.length("text") > 0, F.lit(False)).alias("some"), "tokens")
+
+
 def _mix(spark, docs, targets):
     d = spark.createDataFrame(docs, DOCS)
-    members = mixing.memberships(d, "doc_id", "text", "source")
+    members = mixing.memberships(_keyed(d))
     t = spark.createDataFrame(targets, "mix_name string, source string, target_share double, max_repeats int")
-    uses = mixing.mix(members.join(d.select(d.doc_id.alias("id"), "tokens"), "id"), t)
+    uses = mixing.mix(members, t)
     return uses, mixing.shares(uses, t)
 
 
@@ -107,10 +112,27 @@ def test_uses_and_shares(spark):
 
 def test_copies_belong_to_the_sources_of_all_copies(spark):
     docs = [(1, "same", "a", 10, ""), (2, "same", "B", 10, ""), (3, "same", None, 10, ""), (4, "own", "a", 10, ""), (5, None, "a", 0, ""), (6, "", "a", 0, "")]
-    m = {r["id"]: r["members"] for r in mixing.memberships(spark.createDataFrame(docs, DOCS), "doc_id", "text", "source").collect()}
+    m = {r["id"]: r["members"] for r in mixing.memberships(_keyed(spark.createDataFrame(docs, DOCS))).collect()}
     assert m == {1: ["a", "b"], 2: ["a", "b"], 3: ["a", "b"], 4: ["a"], 5: ["a"], 6: ["a"]}
 
 
 def test_empty_inputs(spark):
     uses, shares = _mix(spark, [(1, None, None, 0, "")], [("m", "a", 1.0, 2)])
     assert uses.count() == 0 and shares.first()["tokens"] == 0
+
+
+def test_targets_with_equal_names_are_one_and_shortfalls_are_reported(spark):
+    docs = [(i, f"text {i}", "a" if i < 100 else "b", 10, "") for i in range(200)] + [(900, "only", "tiny", 5, "")]
+    targets = [("m", "A", 0.2, 2), ("m", " a", 0.2, 1), ("m", "b", 0.4, 1), ("m", "tiny", 0.2, 1)]
+    uses, shares = _mix(spark, docs, targets)
+    got = {r["source"]: r for r in shares.collect()}
+    assert got["a"]["target_share"] == pytest.approx(0.4) and got["a"]["max_repeats"] == 1 and len(got) == 3
+    assert got["tiny"]["tokens"] == 5 and got["tiny"]["missing_tokens"] == int(0.2 * sum(r["tokens"] for r in got.values())) - 5
+    assert got["a"]["tokens"] == got["b"]["tokens"] == 1000 and uses.where("uses > 1").count() == 0
+
+
+def test_sources_outside_a_mix_make_no_patterns(spark):
+    docs = [(i * 50 + k, f"text {i}", f"s{(i + k) % 60}", 10, "") for i in range(60) for k in range(20)]
+    uses, shares = _mix(spark, docs, [("m", "s1", 0.5, 3), ("m", "s2", 0.5, 3)])
+    got = {r["source"]: r["actual_share"] for r in shares.collect()}
+    assert got == {"s1": pytest.approx(0.5, abs=0.02), "s2": pytest.approx(0.5, abs=0.02)}
