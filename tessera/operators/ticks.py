@@ -1,7 +1,9 @@
 """Ticks to features: quotes carried forward, trades signed, daily and first-hour features, manifests and checks.
 
-All windows and the aggregations after them use one key, the source and trading day, so ticks are shuffled once.
-Ties in time go by tick id, so results do not depend on the order of arrival.
+Ticks are shuffled once, by source, trading day and hour, so a crowded day is many tasks: the last quotes and trades are
+carried forward within an hour, and what an hour begins with comes from the few rows of hourly last values. One aggregation
+by minute follows in the same partitions; all that comes after works on minutes. Ties in time go by tick id, so results do
+not depend on the order of arrival.
 """
 
 from __future__ import annotations
@@ -35,36 +37,66 @@ def load_ticks(ticks: DataFrame, kinds: Sequence[str], symbols: Sequence[str] |
     )
 
 
-def quoted(ticks: DataFrame, scope: str = "target") -> DataFrame:
-    """Usable ticks of a scope with the last bid and ask so far that day, and the local time of day."""
+def usable(ticks: DataFrame, scope: str = "target") -> DataFrame:
+    """Ticks of a scope that have a price."""
     rows = ticks.where((F.col("scope") == scope) & (F.col("value") > 0) & ~F.isnan("value"))
-    rows = rows.select(*KEYS, "tick_id", "time", "event_type", F.col("value").alias("price"), F.col("size").cast("double").alias("size"))
-    w = Window.partitionBy(*KEYS).orderBy("time", "tick_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda kind: F.last(F.when(F.col("event_type") == kind, F.col("price")), True).over(w)
+    return rows.select(*KEYS, "tick_id", "time", "event_type", F.col("value").alias("price"), F.col("size").cast("double").alias("size"))
+
+
+def quoted(ticks: DataFrame, scope: str = "target") -> DataFrame:
+    """Usable ticks of a scope with the last bid and ask so far that day, the trade price before (`past`), the minute, and the local time of day."""
+    rows = usable(ticks, scope).withColumn("hour", F.date_trunc("hour", "time")).repartition(*KEYS, "hour")
+    price = lambda kind: F.when(F.col("event_type") == kind, F.col("price"))
+    names = {"bid": "BID", "ask": "ASK", "past": "TRADE"}
+    # What each hour begins with. The sizes are kept so that both branches read one exchange.
+    at = lambda kind: F.when(F.col("event_type") == kind, F.struct("time", "tick_id"))
+    hours = rows.groupBy(*KEYS, "hour").agg(*[F.max_by(price(k), at(k)).alias(n) for n, k in names.items()], F.count("size").alias("n_")).where("n_ >= 0")
+    before = Window.partitionBy(*KEYS).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = hours.select(*[F.col(k).alias(f"c_{k}") for k in (*KEYS, "hour")], *[F.last(n, True).over(before).alias(f"c_{n}") for n in names])
+    on = [rows[k].eqNullSafe(carried[f"c_{k}"]) for k in (*KEYS, "hour")]
+    w = Window.partitionBy(*KEYS, "hour").orderBy("time", "tick_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda n, w: F.coalesce(F.last(price(names[n]), True).over(w), F.col(f"c_{n}"))
     local = F.from_utc_timestamp(F.col("time").cast("timestamp"), "Asia/Hong_Kong")
-    return rows.withColumns({"bid": last("BID"), "ask": last("ASK"), "minute_of_day": F.hour(local) * 60 + F.minute(local)})
+    out = rows.join(carried, on, "left").withColumns({"bid": last("bid", w), "ask": last("ask", w), "past": last("past", w.rowsBetween(Window.unboundedPreceding, -1))})
+    return out.withColumns({"minute": F.date_trunc("minute", F.col("time")), "minute_of_day": F.hour(local) * 60 + F.minute(local)}).drop(*[f"c_{c}" for c in (*KEYS, "hour", *names)])
 
 
-def signed_trades(quotes: DataFrame) -> DataFrame:
-    """Trades with their mid price and signed size: by the quote, at the mid or without a quote by the tick test."""
-    t = quotes.where("event_type = 'TRADE'")
-    step = F.col("price") - F.lag("price").over(Window.partitionBy(*KEYS).orderBy("time", "tick_id"))
-    t = t.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "step": step})
+def signed(quotes: DataFrame) -> DataFrame:
+    """Ticks with `trade`, `quoted` (the quotes are usable) and, of trades, the signed size: by the quote, at the mid or without a quote by the tick test."""
+    t = quotes.withColumns({
+        "trade": F.col("event_type") == "TRADE", "quoted": F.coalesce(F.col("ask") > F.col("bid"), F.lit(False)), "mid": (F.col("bid") + F.col("ask")) / 2, "step": F.col("price") - F.col("past"),
+    })
     by_tick = F.signum(F.coalesce("step", F.lit(0.0))) * F.col("size")
     by_quote = F.when(F.col("price") > F.col("mid"), F.col("size")).when(F.col("price") < F.col("mid"), -F.col("size")).otherwise(by_tick)
-    return t.withColumns({"quoted": F.coalesce(F.col("ask") > F.col("bid"), F.lit(False))}).withColumn("signed_size", F.when(F.col("quoted"), by_quote).otherwise(by_tick))
+    return t.withColumn("signed_size", F.when(F.col("trade"), F.when(F.col("quoted"), by_quote).otherwise(by_tick)))
 
 
-def minute_prices(trades: DataFrame) -> DataFrame:
-    """The last trade price of each minute."""
-    return trades.groupBy(*KEYS, F.date_trunc("minute", F.col("time")).alias("minute")).agg(F.max_by("price", F.struct("time", "tick_id")).alias("px"))
+def by_minute(ticks: DataFrame) -> DataFrame:
+    """One row per source, day and minute: trades, sizes, signed sizes, spreads, quotes, the last trade price. In the partitions of `ticks` (see quoted)."""
+    trade, quote = F.col("trade"), F.col("event_type").isin("BID", "ASK")
+    spread, of = _spread(F.col("quoted")), lambda cond, c: F.when(cond, c)
+    return ticks.groupBy(*KEYS, "hour", "minute", "minute_of_day").agg(
+        F.count_if(trade).alias("trades"), F.sum(of(trade, F.col("size"))).alias("size"), F.count(of(trade, F.col("size"))).alias("sized"), F.sum("signed_size").alias("signed"),
+        F.sum(of(trade, spread)).alias("trade_spread"), F.count(of(trade, spread)).alias("trade_spreads"), F.count_if(quote).alias("quotes"),
+        F.sum(of(quote, spread)).alias("quote_spread"), F.count(of(quote, spread)).alias("quote_spreads"), F.max_by(of(trade, F.col("price")), of(trade, F.struct("time", "tick_id"))).alias("px"),
+    )
+
+
+def minute_prices(ticks: DataFrame) -> DataFrame:
+    """The last trade price of each minute that has one, from usable ticks: a map-side reduction, whatever the source holds."""
+    t = ticks.where("event_type = 'TRADE'")
+    return t.groupBy(*KEYS, F.date_trunc("minute", F.col("time")).alias("minute")).agg(F.max_by("price", F.struct("time", "tick_id")).alias("px"))
+
+
+def with_returns(minutes: DataFrame) -> DataFrame:
+    """Minutes with `r2`, the squared log return of the last trade price since the minute before that has one."""
+    past = F.last("px", True).over(Window.partitionBy(*KEYS).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1))
+    return minutes.withColumn("r2", F.pow(F.ln(F.try_divide(F.col("px"), past)), 2))
 
 
 def realized_vol(minutes: DataFrame, name: str = "realized_vol") -> DataFrame:
     """The root of the summed squared log returns from minute to minute, per day; NULL with one minute only."""
-    past = F.lag("px").over(Window.partitionBy(*KEYS).orderBy("minute"))
-    r = minutes.withColumn("r2", F.pow(F.ln(F.try_divide(F.col("px"), past)), 2))
-    return r.groupBy(*KEYS).agg(F.sqrt(F.sum("r2")).alias(name))
+    return with_returns(minutes).groupBy(*KEYS).agg(F.sqrt(F.sum("r2")).alias(name))
 
 
 def calendar(prices: DataFrame) -> DataFrame:
@@ -81,15 +113,13 @@ def daily_features(ticks: DataFrame, days: DataFrame) -> DataFrame:
 
     Days without ticks have NULL features. NULL sizes count as trades but not in sums.
     """
-    q = quoted(ticks)
-    t = signed_trades(q)
-    trade = t.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n_trades"), F.sum("size").alias("tick_volume"), F.avg("size").alias("avg_trade_size"),
-        divide(F.sum("signed_size"), F.sum("size")).alias("ofi"), F.avg(_spread(F.col("quoted"))).alias("rel_spread"),
+    m = with_returns(by_minute(signed(quoted(ticks))))
+    n = F.sum("trades")
+    day = m.groupBy(*KEYS).agg(
+        F.nullif(n, F.lit(0)).alias("n_trades"), F.sum("size").alias("tick_volume"), F.try_divide(F.sum("size"), F.sum("sized")).alias("avg_trade_size"), divide(F.sum("signed"), F.sum("size")).alias("ofi"),
+        F.try_divide(F.sum("trade_spread"), F.sum("trade_spreads")).alias("rel_spread"), F.sqrt(F.sum("r2")).alias("realized_vol"), F.nullif(F.sum("quotes"), F.lit(0)).alias("n_quotes"),
     )
-    quotes = q.where("event_type in ('BID', 'ASK')").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_quotes"))
-    out = days.join(trade, list(KEYS), "left").join(realized_vol(minute_prices(t)), list(KEYS), "left").join(quotes, list(KEYS), "left")
-    return out.select(*KEYS, "n_trades", "tick_volume", "avg_trade_size", "ofi", "rel_spread", "realized_vol", "n_quotes")
+    return days.join(day, list(KEYS), "left").select(*KEYS, "n_trades", "tick_volume", "avg_trade_size", "ofi", "rel_spread", "realized_vol", "n_quotes")
 
 
 #: Fixed values, minutes after midnight: the opening auction and the first hour of the session.
@@ -98,21 +128,18 @@ AUCTION, FIRST_HOUR = (540, 570), (570, 630)
 
 def intraday_features(ticks: DataFrame, days: DataFrame, trailing: int = 20) -> DataFrame:
     """Per day of the calendar: first-hour features, the auction's share of volume, trailing baselines (without the day), shocks."""
-    q = quoted(ticks)
-    t = signed_trades(q)
     within = lambda span: (F.col("minute_of_day") >= span[0]) & (F.col("minute_of_day") < span[1])
     hour = within(FIRST_HOUR)
-    size = F.col("size")
-    trade = t.groupBy(*KEYS).agg(
-        F.sum("size").alias("all_"), F.sum(F.when(within(AUCTION), size)).alias("auction_"), F.nullif(F.count_if(hour), F.lit(0)).alias("first_hour_n_trades"),
-        F.sum(F.when(hour, size)).alias("first_hour_tick_volume"), divide(F.sum(F.when(hour, F.col("signed_size"))), F.sum(F.when(hour, size))).alias("first_hour_ofi"),
+    m = by_minute(signed(quoted(ticks)))
+    # Returns within the first hour: prices before it do not count.
+    m = with_returns(m.withColumn("px", F.when(hour, F.col("px"))))
+    first = lambda c: F.sum(F.when(hour, F.col(c)))
+    day = m.groupBy(*KEYS).agg(
+        F.sum("size").alias("all_"), F.sum(F.when(within(AUCTION), F.col("size"))).alias("auction_"), F.nullif(first("trades"), F.lit(0)).alias("first_hour_n_trades"),
+        first("size").alias("first_hour_tick_volume"), divide(first("signed"), first("size")).alias("first_hour_ofi"), first("quotes").alias("first_hour_n_quotes"),
+        F.try_divide(first("quote_spread"), first("quote_spreads")).alias("first_hour_rel_spread"), F.sqrt(first("r2")).alias("first_hour_realized_vol"),
     )
-    quote = F.col("event_type").isin("BID", "ASK")
-    quotes = q.where(hour).groupBy(*KEYS).agg(
-        F.count_if(quote).alias("first_hour_n_quotes"), F.avg(_spread(quote & F.coalesce(F.col("ask") > F.col("bid"), F.lit(False)))).alias("first_hour_rel_spread")
-    )
-    vol = realized_vol(minute_prices(t.where(hour)), "first_hour_realized_vol")
-    out = days.join(trade, list(KEYS), "left").join(quotes, list(KEYS), "left").join(vol, list(KEYS), "left")
+    out = days.join(day, list(KEYS), "left")
     past = Window.partitionBy("stock_code").orderBy("trading_date").rowsBetween(-trailing, -1)
     out = out.withColumns({
         "opening_auction_trade_share": divide(F.col("auction_"), F.col("all_")),

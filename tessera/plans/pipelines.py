@@ -40,7 +40,7 @@ def intraday_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def minute_last_price(spark: SparkSession, folder: str) -> DataFrame:
-    return ticks.minute_prices(ticks.signed_trades(ticks.quoted(_ticks(spark, folder))))
+    return ticks.minute_prices(ticks.usable(_ticks(spark, folder)))
 
 
 def realized_vol(spark: SparkSession, folder: str) -> DataFrame:

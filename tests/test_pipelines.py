@@ -18,7 +18,7 @@ def _ticks(spark, rows):
 
 def test_trades_are_signed_by_quote_then_tick(spark):
     rows = [(0, "TRADE", 10.0, 5), (1, "BID", 9.9, 1), (2, "ASK", 10.1, 1), (3, "TRADE", 10.1, 7), (4, "TRADE", 9.9, 3), (5, "TRADE", 10.0, 2), (6, "TRADE", 10.0, None), (7, "BID", 10.3, 1), (8, "TRADE", 10.2, 4), (9, "TRADE", -1.0, 9), (10, "TRADE", None, 9)]
-    got = [r["signed_size"] for r in ticks.signed_trades(ticks.quoted(_ticks(spark, rows))).orderBy("time").collect()]
+    got = [r["signed_size"] for r in ticks.signed(ticks.quoted(_ticks(spark, rows))).where("trade").orderBy("time").collect()]
     assert got == [0.0, 7.0, -3.0, 2.0, None, 4.0]
     f = ticks.daily_features(_ticks(spark, rows), spark.createDataFrame([("A", DAY), ("B", DAY)], "stock_code string, trading_date date")).orderBy("stock_code").collect()
     assert f[0]["n_trades"] == 6 and f[0]["tick_volume"] == 21 and f[0]["ofi"] == pytest.approx(10 / 21) and f[0]["n_quotes"] == 3 and f[1]["n_trades"] is None
