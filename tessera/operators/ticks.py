@@ -44,8 +44,12 @@ def usable(ticks: DataFrame, scope: str = "target") -> DataFrame:
 
 
 def quoted(ticks: DataFrame, scope: str = "target") -> DataFrame:
-    """Usable ticks of a scope with the last bid and ask so far that day, the trade price before (`past`), the minute, and the local time of day."""
-    rows = usable(ticks, scope).withColumn("hour", F.date_trunc("hour", "time")).repartition(*KEYS, "hour")
+    """Usable ticks of a scope with the last bid and ask so far that day, the trade price before (`past`), the minute, and the local time of day.
+
+    Ticks without a source or day are left out.
+    """
+    keyed = usable(ticks, scope).where(" and ".join(f"{k} is not null" for k in KEYS))
+    rows = keyed.withColumn("hour", F.date_trunc("hour", "time")).repartition(*KEYS, "hour")
     price = lambda kind: F.when(F.col("event_type") == kind, F.col("price"))
     names = {"bid": "BID", "ask": "ASK", "past": "TRADE"}
     # What each hour begins with. The sizes are kept so that both branches read one exchange.
