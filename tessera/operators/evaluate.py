@@ -163,13 +163,16 @@ def pairwise_rank_correlation(df: DataFrame, signals: Sequence[str], symbol: str
 
 
 def portfolio_metrics(stream: DataFrame, keys: Sequence[str] = (), time: str = "timestamp", ret: str = "ret", year: int = 252) -> DataFrame:
-    """Per key: n, mean, vol, sharpe, hit_rate, max_drawdown, tail_concentration (share of the three best in the total)."""
+    """Per key: n, mean, vol, sharpe, hit_rate, max_drawdown, tail_concentration (share of the three best in the total).
+
+    Without keys an empty stream has a row: n is 0 and the rest NULL (vol too).
+    """
     first = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     best = Window.partitionBy(*keys).orderBy(F.col(ret).desc(), time)
     s = stream.withColumn("sum_", F.sum(ret).over(first)).withColumn("place_", F.row_number().over(best))
     s = s.withColumn("down_", F.max("sum_").over(first) - F.col("sum_"))
     r = F.col(ret)
-    vol = F.coalesce(F.stddev_samp(r), F.lit(0.0))
+    vol = F.when(F.count(r) > 0, F.coalesce(F.stddev_samp(r), F.lit(0.0)))
     return s.groupBy(*keys).agg(
         F.count(r).alias("n"), F.avg(r).alias("mean_return"), vol.alias("vol"), F.when(vol > 1e-12, F.avg(r) / vol * F.sqrt(F.lit(float(year)))).alias("sharpe"),
         F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.max("down_").alias("max_drawdown"),
@@ -209,6 +212,24 @@ def long_only(df: DataFrame, market: DataFrame, time: str = "timestamp", least:
     return top.groupBy(time).agg((F.avg("fwd") - F.first("market_fwd")).alias("ret"), F.avg("new_").alias("turnover"), F.count(F.lit(1)).alias("names"))
 
 
+def long_only_net(stream: DataFrame, half_spread: Column, least: int = 3) -> DataFrame:
+    """One row for a long_only stream: days, mean, hit rate, mean turnover (the first day turns over nothing), and the mean less the round trip on what is turned over.
+
+    half_spread: as a share of the price. With fewer than `least` days all but the days are NULL.
+    """
+    enough = F.count("ret") >= least
+    turned = F.avg(F.coalesce("turnover", F.lit(0.0)))
+    row = stream.agg(F.count("ret").alias("days"), *[F.when(enough, x).alias(n) for n, x in (("mean", F.avg("ret")), ("hit_rate", F.avg((F.col("ret") > 0).cast("double"))), ("turnover", turned))])
+    return row.withColumn("net", F.col("mean") - F.col("turnover") * 2 * half_spread)
+
+
+def grouped_streams(df: DataFrame, groups: Sequence[str], **columns) -> DataFrame:
+    """The long-short stream and its metrics within each label of each grouping: grouping, label, and portfolio_metrics."""
+    entries = F.array(*[F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("label")) for g in groups])
+    long = df.select("symbol", "timestamp", "signal", "fwd", F.explode(entries).alias("g_")).select("symbol", "timestamp", "signal", "fwd", "g_.*").where("label is not null")
+    return portfolio_metrics(long_short(long, ["grouping", "label"], **columns), ["grouping", "label"])
+
+
 def evaluation(df: DataFrame, keys: Sequence[str] = (), quantiles: int = 5, cost_bps: float = 10.0) -> DataFrame:
     """One row per key with all metrics: periods, assets, ic, rank_ic, quantile_spread, turnover, net spread, and the portfolio's.
 

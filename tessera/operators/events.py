@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.safe import correlation
@@ -87,15 +88,16 @@ def event_window(panel: DataFrame, events: DataFrame, before: int = 10, after: i
     return out
 
 
-def profile_by_tau(window: DataFrame, value: str = "ar") -> DataFrame:
-    """Mean abnormal return, its number of events, and the cumulated mean, per offset."""
-    by = window.groupBy("tau").agg(F.avg(value).alias("mean_ar"), F.count(value).alias("n"))
+def profile_by_tau(window: DataFrame, value: str = "ar", others: Sequence[str] = ()) -> DataFrame:
+    """Mean abnormal return, its number of events, the cumulated mean, and the means of other columns, per offset."""
+    by = window.groupBy("tau").agg(F.avg(value).alias("mean_ar"), F.count(value).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in others])
     return by.withColumn("car", F.sum("mean_ar").over(Window.orderBy("tau").rowsBetween(Window.unboundedPreceding, 0)))  # one row per offset
 
 
-def cumulated(window: DataFrame, start: int = -1, end: int = 3, value: str = "ar") -> DataFrame:
-    """Cumulated abnormal return per event over offsets start to end."""
-    return window.where(F.col("tau").between(start, end)).groupBy("symbol", "event_id").agg(F.sum(value).alias("car"), F.count(value).alias("n"))
+def cumulated(window: DataFrame, start: int = -1, end: int = 3, value: str = "ar", first: Sequence[str] = ()) -> DataFrame:
+    """Cumulated abnormal return per event over offsets start to end, and the first value there of other columns."""
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("tau"))).alias(c) for c in first]
+    return window.where(F.col("tau").between(start, end)).groupBy("symbol", "event_id").agg(F.sum(value).alias("car"), F.count(value).alias("n"), *firsts)
 
 
 def t_statistic(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -135,3 +137,27 @@ def unmatched_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], names
     """Keys that only one of two tables has: side and the keys."""
     l, r = (d.select(*keys).distinct() for d in (left, right))
     return l.join(r, list(keys), "left_anti").withColumn("only_in", F.lit(names[0])).unionByName(r.join(l, list(keys), "left_anti").withColumn("only_in", F.lit(names[1])))
+
+
+#: States of a check, the worst first: it could not be run, rows that must not be, rows to look at, none.
+STATES = ("FAILED", "BLOCKED", "REVIEW_REQUIRED", "PASSED")
+
+
+def audit(spark: SparkSession, checks: Mapping[str, tuple[bool, Callable[[], DataFrame]]]) -> DataFrame:
+    """A row per check (check_name, failed, status) and one of name 'all' with the worst status and the sum.
+
+    checks: name -> (whether it blocks, what gives a table with one number, the rows that fail). A check that cannot be planned, for
+    want of a table or column say, has failed = NULL and the status FAILED.
+    """
+    rows = None
+    for name, (blocks, make) in checks.items():
+        try:
+            one = make()
+            part = one.select(F.lit(name).alias("check_name"), F.coalesce(one[one.columns[0]].cast("bigint"), F.lit(0)).alias("failed"))
+            part = part.withColumn("state", F.when(F.col("failed") == 0, 3).otherwise(1 if blocks else 2))
+        except AnalysisException:
+            part = spark.range(1).select(F.lit(name).alias("check_name"), F.lit(None).cast("bigint").alias("failed"), F.lit(0).alias("state"))
+        rows = part if rows is None else rows.unionByName(part)
+    named = F.element_at(F.array(*map(F.lit, STATES)), F.col("state") + 1)
+    total = rows.agg(F.lit("all").alias("check_name"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.min("state").alias("state"))
+    return rows.unionByName(total).select("check_name", "failed", named.alias("status"))

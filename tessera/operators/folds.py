@@ -17,13 +17,22 @@ MOST_FOLDS = 1000
 
 @dataclass(frozen=True)
 class Folds:
-    """How a span is cut: at most `count` windows of `size` days, `step` apart, each less `embargo` days at its end, of at least `least` days."""
+    """How a span is cut: at most `count` windows of `size` days, `step` apart, each less `embargo` days at its end, of at least `least` days.
+
+    Without an embargo it is as long as the labels look ahead: their lag and horizon.
+    """
 
     count: int = 4
     size: int = 90
     step: int = 45
-    embargo: int = 2
+    embargo: int | None = 2
     least: int = 20
+    lag: int = 1
+    horizon: int = 1
+
+    @property
+    def gap(self) -> int:
+        return self.lag + self.horizon if self.embargo is None else self.embargo
 
 
 def windows(start: date, end: date, rule: Folds) -> list[tuple[int, date, date]]:
@@ -34,12 +43,40 @@ def windows(start: date, end: date, rule: Folds) -> list[tuple[int, date, date]]
         gross = first + timedelta(days=rule.size - 1)
         if gross > end:
             break
-        last = gross - timedelta(days=rule.embargo)
+        last = gross - timedelta(days=rule.gap)
         if (last - first).days + 1 >= rule.least:
             out.append((i, first, last))
     return out
 
 
+@dataclass(frozen=True)
+class Plan:
+    """The folds of a span, how many were tried and how many of these were too short, and why there is no walk-forward, if so."""
+
+    folds: list[tuple[int, date, date]]
+    attempted: int
+    embargo: int
+    skipped: str | None
+
+    @property
+    def purged(self) -> int:
+        return max(0, self.attempted - len(self.folds))
+
+
+def plan(start: date, end: date, rule: Folds) -> Plan:
+    """The plan of a walk-forward. With fewer than two folds it is skipped: then the whole span is one fold, number -1."""
+    kept = windows(start, end, rule)
+    tried = sum(start + timedelta(days=i * rule.step + rule.size - 1) <= end for i in range(min(rule.count, MOST_FOLDS)))
+    return Plan(kept, tried, rule.gap, "span too short" if len(kept) < 2 else None)
+
+
+def planned(panel: DataFrame, start: date, end: date, rule: Folds, keys: Sequence[str] = ()) -> DataFrame:
+    """walk_forward over the plan of a span, or over the whole span where that is skipped, with `skipped`."""
+    p = plan(start, end, rule)
+    spans = [(-1, start, end)] if p.skipped else p.folds
+    return walk_forward(panel, spans, rule.lag, rule.horizon, keys).withColumn("skipped", F.lit(p.skipped).cast("string"))
+
+
 def holdout_span(start: date, end: date, share: float) -> tuple[tuple[date, date], tuple[date, date]]:
     """The span without its last days, and those: a share of its days, rounded to even, at least one, never all."""
     total = (end - start).days + 1
@@ -87,13 +124,17 @@ def walk_forward(panel: DataFrame, folds: Sequence[tuple[int, date, date]], lag:
     return evaluate.evaluation(labelled, [*keys, "fold"])
 
 
+#: How what is no mean over folds is put together: the worst of concentrations, the least of counts.
+OVER_FOLDS = {"tail_concentration": F.max, "median_share": F.max, "max_share": F.max, "least_gains": F.min, "hit_rate": F.avg, "vol": F.avg, "same_sign": F.min, "max_correlation": F.max, "lift": F.avg, "positive_lift": F.avg}
+
+
 def summarise(per_fold: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Over folds: means, the population deviation of rank-IC, the share of folds in which it is positive, periods and assets."""
     means = [F.avg(c).alias(c) for c in ("ic", "rank_ic", "quantile_spread", "net_spread", "turnover", "sharpe", "max_drawdown")]
     return per_fold.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("folds"), *means, F.coalesce(F.stddev_pop("rank_ic"), F.lit(0.0)).alias("rank_ic_deviation"),
         F.avg(F.when(F.col("rank_ic") > 0, 1.0).when(F.col("rank_ic").isNotNull(), 0.0)).alias("positive_share"),
-        F.sum("n_periods").alias("n_periods"), F.max("n_assets").alias("n_assets"), F.max("tail_concentration").alias("tail_concentration"),
+        F.sum("n_periods").alias("n_periods"), F.max("n_assets").alias("n_assets"), *[how(c).alias(c) for c, how in OVER_FOLDS.items() if c in per_fold.columns],
     )
 
 

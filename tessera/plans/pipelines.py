@@ -175,22 +175,28 @@ def coverage_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def truth_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Checks of the event dates: rows that fail each."""
-    e = table(spark, folder, "ipo_event_dates_curated")
+    """Checks of the event dates: rows that fail each, the state of each, and the worst of all."""
+    def dates() -> DataFrame:
+        return table(spark, folder, "ipo_event_dates_curated")
+
     empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    dup = e.groupBy("stock_code", "event_type", "event_date").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("failed"))
-    checks = e.agg(F.count_if(empty("primary_source_doc_id")).alias("no_document"), F.count_if(F.col("event_date").isNull()).alias("no_date"), F.count_if(F.col("days_from_listing") < 0).alias("before_listing"))
-    long = checks.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("failed")) for c in checks.columns])).alias("e")).select("e.*")
-    return long.unionByName(dup.withColumn("check_name", F.lit("repeated_key"))).withColumn("status", F.when(F.col("failed") == 0, "PASSED").otherwise("REVIEW_REQUIRED"))
+    count = lambda condition: lambda: dates().agg(F.count_if(condition).alias("failed"))
+    keys = ["stock_code", "event_type", "event_date"]
+    repeated = lambda: dates().groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("failed"))
+    orphan = lambda: dates().join(table(spark, folder, "ipo_master").select("stock_code").distinct(), "stock_code", "left_anti").agg(F.count(F.lit(1)).alias("failed"))
+    return events.audit(spark, {
+        "no_document": (False, count(empty("primary_source_doc_id"))), "no_date": (True, count(F.col("event_date").isNull())), "before_listing": (False, count(F.col("days_from_listing") < 0)),
+        "repeated_key": (True, repeated), "negative_terms": (True, count(F.col("term_count") < 0)), "unknown_stock": (False, orphan), "column_gone": (True, count(F.col("no_such_column") > 0)),
+    })
 
 
-def _study(spark: SparkSession, folder: str, shift: int = 0, whole: bool = False) -> DataFrame:
+def _study(spark: SparkSession, folder: str, shift: int = 0, whole: bool = False, before: int = 10, after: int = 10) -> DataFrame:
     b = bars(spark, folder)
     over = evaluate.Window.partitionBy("symbol").orderBy("timestamp")
     r = b.select("symbol", "timestamp", (F.try_divide(F.col("close"), F.lag("close").over(over)) - 1).alias("r"))
     market = r.groupBy("timestamp").agg(F.avg("r").alias("m"))
     ar = r.join(market, "timestamp").select("symbol", "timestamp", (F.col("r") - F.col("m")).alias("ar"))
-    return events.event_window(ar, plausible_events(spark, folder).withColumnRenamed("stock_code", "symbol"), shift=shift, whole=whole)
+    return events.event_window(ar, plausible_events(spark, folder).withColumnRenamed("stock_code", "symbol"), before, after, shift=shift, whole=whole)
 
 
 def plausible_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -334,10 +340,14 @@ union all select stock_code, day, 'features' as only_in from m where not exists
         f"""select '{t}' as table_name, count(*) as "rows", count(distinct stock_code) as stocks, min({d}) as first_day, max({d}) as last_day from {t}"""
         for t, d in (("ipo_daily_prices", "date"), ("micro_features_daily", "trading_date"), ("ipo_event_dates_curated", "event_date"))
     ),
-    "truth_audit": """with c as (select 'no_document' as check_name, count(*) filter (primary_source_doc_id is null or primary_source_doc_id = '') as failed from ipo_event_dates_curated
-union all select 'no_date', count(*) filter (event_date is null) from ipo_event_dates_curated union all select 'before_listing', count(*) filter (days_from_listing < 0) from ipo_event_dates_curated
-union all select 'repeated_key', coalesce(sum(n - 1), 0)::bigint from (select count(*) n from ipo_event_dates_curated group by stock_code, event_type, event_date))
-select check_name, failed, case when failed = 0 then 'PASSED' else 'REVIEW_REQUIRED' end as status from c""",
+    "truth_audit": """with e as (select * from ipo_event_dates_curated),
+c as (select 'no_document' as check_name, count(*) filter (primary_source_doc_id is null or primary_source_doc_id = '') as failed, 2 as bad from e union all select 'no_date', count(*) filter (event_date is null), 1 from e
+  union all select 'before_listing', count(*) filter (days_from_listing < 0), 2 from e union all select 'repeated_key', coalesce(sum(n - 1), 0)::bigint, 1 from (select count(*) n from e group by stock_code, event_type, event_date)
+  union all select 'negative_terms', count(*) filter (term_count < 0), 1 from e union all select 'unknown_stock', count(*), 2 from e where not exists (select 1 from ipo_master m where m.stock_code = e.stock_code)
+  union all select 'column_gone', null, 0),
+s as (select check_name, failed, case when failed is null then 0 when failed = 0 then 3 else bad end as state from c)
+select check_name, failed, ['FAILED', 'BLOCKED', 'REVIEW_REQUIRED', 'PASSED'][state + 1] as status from s
+union all select 'all', sum(failed)::bigint, ['FAILED', 'BLOCKED', 'REVIEW_REQUIRED', 'PASSED'][min(state) + 1] from s""",
     "plausible_events": _STUDY + " select symbol as stock_code, event_date, event_id from ev",
     "event_panel": _STUDY + f" select symbol, event_id, tau, timestamp, {_R('ar')} as ar from w",
     "car_profile": _STUDY + f", p as (select tau, avg(ar) as m, count(ar) as n from w group by 1) select tau, {_R('m')} as mean_ar, n, {_R('sum(m) over (order by tau)')} as car from p",

@@ -88,11 +88,10 @@ def lineage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents first seen in the latest run."""
+    """Records since 2026 of documents that no earlier record names."""
     t = _terms(spark, folder).where("source_doc_id is not null")
-    new = events.latest_run(t)
-    old = t.join(new.select("run_id").distinct(), "run_id", "left_anti")
-    return registry.new_rows(old, new, "source_doc_id").select("source_doc_id", "term_id")
+    later = F.col("curated_at_utc") >= F.lit("2026-01-01").cast("timestamp_ntz")
+    return registry.new_rows(t.where(~later), t.where(later), "source_doc_id").select("source_doc_id", "term_id")
 
 
 def composite_anchors(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,7 +167,8 @@ union all select term_id, stock_code, event_type, event_date, source_doc_id from
   + 0.3 * len(list_intersect(list_distinct(tags), ['prospectus', 'ok'])) / len(list_distinct(list_concat(tags, ['prospectus', 'ok']))) + 0.1 * pow(0.5::double, greatest(date_diff('day', curated_at_utc::date, date '2026-06-30'), 0) / 30.0::double), 6) as score
 from (select *, list_filter([source_priority, status], lambda x: x is not null) as tags from {_T}) order by score desc, term_id limit 25""",
     "lineage": f"""with recursive {_PARENT}, r as (select id, id as root, 0 as depth from p where parent_id is null union all select p.id, r.root, r.depth + 1 from p join r on p.parent_id = r.id) select * from r""",
-    "index_diff": f"with t as (select * from {_T} where source_doc_id is not null), m as (select max(run_id) r from t) select source_doc_id, term_id from t, m where run_id = r and source_doc_id not in (select source_doc_id from t, m where run_id <> r)",
+    "index_diff": f"""select source_doc_id, term_id from {_T} where source_doc_id is not null and curated_at_utc >= timestamp '2026-01-01' and source_doc_id not in (
+  select source_doc_id from {_T} where source_doc_id is not null and curated_at_utc < timestamp '2026-01-01')""",
     "composite_anchors": f"select event_type, term_id from (select *, row_number() over (partition by event_type order by curated_at_utc desc, term_id) n from {_T}) where n = 1 order by curated_at_utc desc, term_id limit 5",
     "replay_candidates": "select md5(text) as text_id, min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by 1",
     "lineage_facts": f"select term_id, event_type || ' of ' || stock_code || ' is ' || coalesce(event_date::varchar, 'unknown') as fact, concat_ws(',', coalesce(status, 'none'), source_priority) as tags from {_T}",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import evaluation, expressions, pipelines, quality, records
+from tessera.plans import evaluation, expressions, pipelines, quality, records, verdicts
 
-MODULES = [quality, expressions, evaluation, pipelines, records]
+MODULES = [quality, expressions, evaluation, pipelines, records, verdicts]
 FLAGSHIP = "eval_bundle"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import expression
-from tessera.operators import evaluate, folds
+from tessera.operators import evaluate, folds, selection
 
 
 def settings_id(settings: Mapping) -> str:
@@ -28,14 +28,55 @@ def settings_diff(a: Mapping, b: Mapping) -> dict[str, tuple]:
 def score(panel: DataFrame, expressions: Mapping[str, str], spans: Sequence[tuple], extra_fields: Sequence[str] = ()) -> DataFrame:
     """Mean rank-IC per factor and fold for all expressions in one job: factor, fold, rank_ic.
 
-    Signals are made once over the whole panel as columns, then laid out long; folds and factors are keys of one
-    aggregation, so the number of jobs does not depend on the number of candidates.
+    Signals are made once over the whole panel as columns, returns once per fold; only then are the factors laid out long. Folds
+    and factors are keys of one aggregation, so the number of jobs does not depend on the number of candidates.
     """
-    wide = expression.with_factors(panel, expressions, extra_fields=extra_fields)
+    long = labelled(panel, expressions, spans, extra_fields)
+    return evaluate.mean_rank_ic(long, ["factor", "fold"]).select("factor", "fold", "rank_ic")
+
+
+def labelled(panel: DataFrame, expressions: Mapping[str, str], spans: Sequence[tuple], extra_fields: Sequence[str] = ()) -> DataFrame:
+    """factor, fold, symbol, timestamp, signal and fwd, the return made inside the fold."""
+    wide = expression.with_factors(panel, expressions, extra_fields=extra_fields).select("symbol", "timestamp", "close", *expressions)
+    inside = evaluate.with_forward(folds.assign(wide, spans), ["fold", "symbol"])
     entries = F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("signal")) for k in expressions])
-    long = folds.assign(wide.select("symbol", "timestamp", "close", F.explode(entries).alias("e")).select("symbol", "timestamp", "close", "e.*"), spans)
-    labelled = evaluate.with_forward(long, ["factor", "fold", "symbol"])
-    return evaluate.mean_rank_ic(labelled, ["factor", "fold"]).select("factor", "fold", "rank_ic")
+    return inside.select("fold", "symbol", "timestamp", "fwd", F.explode(entries).alias("e")).select("e.factor", "fold", "symbol", "timestamp", "e.signal", "fwd")
+
+
+def run_batch(panel: DataFrame, cycles: Sequence[Sequence[str]], spans: Sequence[tuple], rules: selection.Regime = selection.STRICT, extra_fields: Sequence[str] = ()) -> DataFrame:
+    """Judge several cycles of expressions in one job: cycle, expression, trials, folds, metrics, gate, decision.
+
+    A cycle's levels are raised for all expressions tried up to and with it, so the family grows as the batch goes on. An expression whose
+    canonical form was tried before is known and not tried again (it has the gate 'known').
+    """
+    rows, texts, seen = [], {}, set()
+    for i, cycle in enumerate(cycles):
+        fresh = []
+        for text in cycle:
+            form = expression.canonical(expression.parse(text))
+            name = f"x{len(rows) + len(fresh)}"
+            fresh.append((name, i, text, form in seen))
+            if form not in seen:
+                texts[name] = text
+            seen.add(form)
+        rows += [(*r, len(seen)) for r in fresh]
+    asked = panel.sparkSession.createDataFrame(rows, "factor string, cycle int, expression string, repeated boolean, trials int")
+    if not texts:
+        return selection.judged(asked.withColumn("likeness", F.lit(1.0)), rules).drop("factor", "likeness", "repeated")
+    long = labelled(panel, texts, spans, extra_fields)
+    metrics = folds.summarise(evaluate.evaluation(long, ["factor", "fold"]), ["factor"])
+    both = asked.join(metrics, "factor", "left").withColumn("likeness", F.when(F.col("repeated"), 1.0))
+    out = selection.judged(both, rules)
+    first = F.when(F.col("repeated"), "known").otherwise(F.col("gate"))
+    return out.withColumn("gate", first).select("cycle", "expression", "trials", "folds", "ic", "rank_ic", "quantile_spread", "gate", "decision")
+
+
+def cycle_reports(judged: DataFrame) -> DataFrame:
+    """One row per cycle of a batch: expressions, trials, how many of each decision, those promoted, and counts by gate."""
+    counts = judged.groupBy("cycle", "gate").agg(F.count(F.lit(1)).alias("n")).groupBy("cycle").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("gate", "n")))).alias("by_gate"))
+    of = lambda d: F.count_if(F.col("decision") == d).alias(f"n_{d}")
+    promoted = F.array_sort(F.collect_list(F.when(F.col("decision") == "promote", F.col("expression")))).alias("promoted")  # bounded by the cycle's expressions
+    return judged.groupBy("cycle").agg(F.count(F.lit(1)).alias("n"), F.max("trials").alias("trials"), of("promote"), of("refine"), of("reject"), promoted).join(counts, "cycle")
 
 
 @dataclass

@@ -8,7 +8,6 @@ import urllib.error
 import urllib.request
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,15 +87,45 @@ def read_sectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, comment="#", schema="symbol string, sector string").select(F.trim("symbol").alias("symbol"), F.trim("sector").alias("sector"))
 
 
-def write_json(path: Path, document: dict, index: Path | None = None, entry: dict | None = None) -> None:
-    """A JSON document written whole (to a new name, then renamed), and a line added to an index of such documents."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    new = path.with_suffix(path.suffix + ".new")
-    new.write_text(json.dumps(document, indent=2, sort_keys=True))
-    new.replace(path)
+def write_json(spark: SparkSession, path: str, document: dict, index: str | None = None, entry: dict | None = None, key: str = "id") -> None:
+    """A JSON document on any file system, and its line in an index of such documents, replaced if the index has the key.
+
+    Both are written whole to a new name and then renamed, so a reader sees the old or the new one. One writer at a time.
+    """
+    _replace_text(spark, path, json.dumps(document, indent=2, sort_keys=True))
     if index is not None:
-        with index.open("a") as f:
-            f.write(json.dumps(entry or {}, sort_keys=True) + "\n")
+        line = entry or {}
+        old = [json.loads(x) for x in (_text(spark, index) or "").splitlines() if x.strip()]
+        kept = [x for x in old if x.get(key) != line.get(key)]
+        _replace_text(spark, index, "".join(json.dumps(x, sort_keys=True) + "\n" for x in [*kept, line]))
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _text(spark: SparkSession, path: str) -> str | None:
+    at, fs = _file(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _replace_text(spark: SparkSession, path: str, text: str) -> None:
+    at, fs = _file(spark, path)
+    new, _ = _file(spark, f"{path}.new")
+    fs.mkdirs(at.getParent())
+    stream = fs.create(new, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.delete(at, False)
+    if not fs.rename(new, at):
+        raise OSError(f"{path} could not be replaced")
 
 
 def read_index(spark: SparkSession, path: str, key: str, order: str, schema: str | None = None) -> DataFrame:
@@ -115,10 +144,22 @@ def write_table(df: DataFrame, name: str, replace: bool = True, days: int | None
         df.sparkSession.sql(f"alter table {name} set tblproperties ('expires_on' = '{expires}')")
 
 
+def drop_expired(spark: SparkSession, names: Sequence[str], today: str | None = None) -> list[str]:
+    """Drop those of the tables whose `expires_on` (see write_table) has passed; their names."""
+    day = today or str(spark.range(1).select(F.current_date()).first()[0])
+    gone = []
+    for name in names:
+        at = {r["key"]: r["value"] for r in spark.sql(f"show tblproperties {name}").collect()}.get("expires_on")
+        if at is not None and at < day:
+            spark.sql(f"drop table {name}")
+            gone.append(name)
+    return gone
+
+
 def synthetic_bars(spark: SparkSession, symbols: Sequence[str], days: int, seed: int = 42, start: str = "2024-01-01", price: float = 100.0, vol: float = 0.02) -> DataFrame:
     """Weekday bars of geometric random walks, one stream of random numbers per symbol, so any subset of symbols gives the same rows."""
     stamps = np.busday_offset(np.datetime64(start), np.arange(days), roll="forward")
-    drift = np.linspace(-0.001, 0.002, max(1, len(symbols)))
+    drift = np.linspace(-0.0008, 0.0012, max(1, len(symbols)))
     frame = spark.createDataFrame([(i, s) for i, s in enumerate(symbols)], "i int, symbol string")
     schema = "symbol string, timestamp date, open double, high double, low double, close double, volume double"
 

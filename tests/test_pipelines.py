@@ -108,8 +108,10 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "s.csv").write_text("symbol,sector\n# note\nA, Tech\n")
     assert readers.read_sectors(spark, str(tmp_path / "s.csv")).first()["sector"] == "Tech"
     for i in range(2):
-        readers.write_json(tmp_path / "d" / "x.json", {"v": i}, tmp_path / "d" / "index.jsonl", {"key": "x", "at": i})
+        readers.write_json(spark, str(tmp_path / "d" / "x.json"), {"v": i}, str(tmp_path / "d" / "index.jsonl"), {"key": "x", "at": i}, key="key")
     assert readers.read_index(spark, str(tmp_path / "d" / "index.jsonl"), "key", "at").first()["at"] == 1
+    readers.write_json(spark, str(tmp_path / "d" / "y.json"), {"v": 5}, str(tmp_path / "d" / "index.jsonl"), {"key": "y", "at": 0}, key="key")
+    assert [x.split('"key": ')[1][:3] for x in (tmp_path / "d" / "index.jsonl").read_text().splitlines()] == ['"x"', '"y"'] and '"v": 1' in (tmp_path / "d" / "x.json").read_text()
     done = []
     n = readers.backfill(readers.read_bars(spark, out), wanted, "2024-01-03", "2024-02-09", lambda s: done.append(s) or bars.where(F.col("symbol").isin(*s)), out)
     assert n == 2 and sorted(sum(done, [])) == ["A", "Z"]
