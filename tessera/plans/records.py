@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import events, registry
 from tessera.plans.common import rounded
-from tessera.session import shared_dir
+from tessera.session import scratch
 from tessera.streaming import bars as streams
 from tessera.tables import table
 
@@ -138,7 +136,7 @@ DELAY_DAYS = 3
 
 def stream_minute_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Final minute bars from a stream over the tick files, those the watermark has passed."""
-    work = f"{shared_dir(spark).rstrip('/')}/minute-bars-{uuid.uuid4().hex[:12]}"
+    work = scratch(spark, "minute-bars")
     streams.run_to_end(streams.minute_bars(streams.tick_stream(spark, f"{folder}/tick_events_ext.parquet"), f"{DELAY_DAYS} days"), f"{work}/out", f"{work}/state")
     return spark.read.parquet(f"{work}/out").withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 

@@ -385,7 +385,7 @@ select {_R('c.mean')} as mean, {_R('c.t')} as t, c.n, {_R('median')} as median,
     "placebo_stats": pipelines._STUDY + " " + _placebo(-40) + " union all " + _placebo(40),
     "related_expressions": _likeness_sql(),
     # Counted by hand: windows of 5 and 6 are of one size class; of 7 and 7 features 6 are shared by the fourth, 6 / 8; the last shares none.
-    "novelty_verdict": "select unnest([{}]) as expression, unnest([1.0, 1.0, 1.0, null, null]) as likeness, unnest([true, true, true, false, false]) as known".format(", ".join(f"'{t}'" for t in _CANDIDATES)),
+    "novelty_verdict": "select unnest([{}]) as expression, unnest([1.0::double, 1.0, 1.0, null, null]) as likeness, unnest([true, true, true, false, false]) as known".format(", ".join(f"'{t}'" for t in _CANDIDATES)),
     "refinement_rounds": f"select depth, count(*) as n from (select row_number() over (partition by stock_code, event_type, party_name order by curated_at_utc, term_id) - 1 as depth from {_T}) group by 1",
     "run_reports": f"""select run_id, count(*) as n, count(*) filter (status = 'ok') as n_ok, count(*) filter (status = 'candidate') as n_candidate, count(distinct event_type) as kinds, {_R('avg(case when not isnan(confidence) then confidence end)')} as mean_confidence,
   min(curated_at_utc) as first_at, max(curated_at_utc) as last_at from {_T} group by 1""",

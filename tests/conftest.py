@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
 
     s = session(
         "local[4]", "tests",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.default.parallelism": "4", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.default.parallelism": "4", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
