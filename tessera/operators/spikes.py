@@ -351,34 +351,31 @@ def _source(keys: list[str]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
 
 
-FLAGS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("h", T.LongType()), T.StructField("at", T.LongType()), T.StructField("flags", T.IntegerType())])
-
-
 def _flagged(rows: DataFrame, reading: list[str], widths: tuple[int, ...], rules: SpikeRules, judged) -> DataFrame:
     """`id` and `flags` of the rows (src, at, id, and the columns that make a reading) that `judged` flags.
 
     Equal rows are one reading. `judged` gets the columns of a window, in order of time, and gives flags.
     """
     key = ["src", "at", *reading]
-    hashed = rows.withColumn("h", F.xxhash64(*key))
-    readings = cut(hashed.groupBy(*key, "h").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("copies")))
+    readings = cut(rows.groupBy(*key).agg(F.min("id").alias("rid"), F.count(F.lit(1)).cast("int").alias("copies")))
     cutted = windows_of(readings, widths, rules.window, rules.context)
+    kept = [f for f in readings.schema.fields if f.name in (*key, "rid", "copies")]
+    schema = T.StructType([*kept, T.StructField("flags", T.IntegerType())])
 
     def work(table: pa.Table) -> pa.Table:
-        own = table["own"].to_numpy(zero_copy_only=False)
-        columns = {c: table[c].to_numpy(zero_copy_only=False) for c in ("at", *reading, "rid", "copies", "h")}
+        columns = {c: table[c].to_numpy(zero_copy_only=False) for c in ("at", *reading, "rid")}
         order = np.lexsort((columns["rid"], *(columns[c] for c in reversed(reading)), columns["at"]))
-        columns = {k: v[order] for k, v in columns.items()}
-        flags = judged(columns)
-        keep = np.flatnonzero((flags > 0) & own[order])
-        arrays = [pa.array(columns[c][keep], pa.int64()) for c in ("rid", "copies", "h", "at")]
-        return pa.Table.from_arrays([*arrays, pa.array(flags[keep], pa.int32())], names=FLAGS.names)
-
-    used = cutted.select("src", "win", "own", "at", *reading, "rid", "copies", "h")
-    found = cut(used.groupBy("src", "win").applyInArrow(work, FLAGS))
-    # The copies of a flagged reading are found by its hash (and time); rows that cannot have one stay out of the join.
-    many = found.where("copies > 1").select("h", "at", "flags")
-    copies = may_match(hashed.select("id", "h", "at"), many, ["h"]).join(many, ["h", "at"]).select("id", "flags")
+        flags = np.empty(len(order), np.int32)
+        flags[order] = judged({k: v[order] for k, v in columns.items()})
+        keep = np.flatnonzero((flags > 0) & table["own"].to_numpy(zero_copy_only=False))
+        return table.select([f.name for f in kept]).take(pa.array(keep)).append_column("flags", pa.array(flags[keep], pa.int32()))
+
+    used = cutted.select("win", "own", *[f.name for f in kept])
+    found = cut(used.groupBy("src", "win").applyInArrow(work, schema))
+    # The copies of a flagged reading are found by its hash and time; rows that cannot have one stay out of the join.
+    hashed = lambda df: df.withColumn("h", F.xxhash64(*key))
+    many = hashed(found.where("copies > 1")).select("h", "at", "flags")
+    copies = may_match(hashed(rows).select("id", "h", "at"), many, ["h"]).join(many, ["h", "at"]).select("id", "flags")
     return found.where("copies = 1").select(F.col("rid").alias("id"), "flags").unionAll(copies)
 
 
