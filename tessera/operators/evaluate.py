@@ -233,17 +233,36 @@ def grouped_streams(df: DataFrame, groups: Sequence[str], **columns) -> DataFram
 def evaluation(df: DataFrame, keys: Sequence[str] = (), quantiles: int = 5, cost_bps: float = 10.0) -> DataFrame:
     """One row per key with all metrics: periods, assets, ic, rank_ic, quantile_spread, turnover, net spread, and the portfolio's.
 
-    df: keys, symbol, timestamp, signal, fwd. Keys without a defined metric have NULL there. The input is made once and
-    kept in the shared folder, since every metric reads it; their one-row-per-key results are joined.
+    df: keys, symbol, timestamp, signal, fwd. Keys without a defined metric have NULL there. The input and the statistics per
+    time are made once and kept in the shared folder; the one-row-per-key results are joined.
     """
     df = cut(df.select(*keys, "symbol", "timestamp", "signal", "fwd"))
-    base = df.groupBy(*keys).agg(F.count_distinct("timestamp").alias("n_periods"), F.count_distinct("symbol").alias("n_assets"))
-    parts = [mean_ic(df, keys).select(*keys, "ic"), mean_rank_ic(df, keys).select(*keys, "rank_ic"), turnover(df, keys)]
-    stream = cut(long_short(df, keys, quantiles=quantiles))
-    parts += [_mean(stream, keys, "ret", "quantile_spread").select(*keys, "quantile_spread"), portfolio_metrics(stream, keys).drop("n")]
+    by = cut(_by_time(df, keys, quantiles=quantiles))
+    rows = df.groupBy(*keys).agg(F.count_distinct("timestamp").alias("n_periods"), F.count_distinct("symbol").alias("n_assets"))
+    stream = by.where("ret is not null").select(*keys, "timestamp", "ret")
+    parts = [by.groupBy(*keys).agg(*[F.avg(c).alias(n) for c, n in (("ic", "ic"), ("rank_ic", "rank_ic"), ("ret", "quantile_spread"))]), turnover(df, keys), portfolio_metrics(stream, keys).drop("n")]
     for p in parts:
-        base = base.join(p, list(keys), "left") if keys else base.join(p, F.lit(True), "left")
-    return base.withColumn("net_spread", net_of_cost(F.col("quantile_spread"), F.col("turnover"), cost_bps))
+        rows = rows.join(p, list(keys), "left") if keys else rows.join(p, F.lit(True), "left")
+    return rows.withColumn("net_spread", net_of_cost(F.col("quantile_spread"), F.col("turnover"), cost_bps))
+
+
+def _by_time(df: DataFrame, keys: Sequence[str], quantiles: int, least: int = 3) -> DataFrame:
+    """Per time what ic_by_time, rank_ic_by_time and long_short give, in one shuffle: keys, timestamp, ic, rank_ic, ret.
+
+    Ranks and quantile edges are windows over the same cross-section, whose rows are bounded by the number of symbols.
+    """
+    cross = Window.partitionBy(*keys, "timestamp")
+    at = [i / quantiles for i in range(quantiles + 1)]
+    pairs = _pairs(df, "signal", "fwd").select(*keys, "timestamp", F.col("signal").alias("s"), F.col("fwd").alias("r"))
+    pairs = pairs.withColumns({"rs": mean_rank(F.col("s"), *keys, "timestamp"), "rr": mean_rank(F.col("r"), *keys, "timestamp"), "e": F.array_distinct(F.percentile("s", F.array(*map(F.lit, at))).over(cross))})
+    edges = (F.count(F.lit(1)) >= quantiles) & (F.size(F.first("e")) >= 3)
+    top, bottom = F.avg(F.when(F.col("s") > F.try_element_at("e", F.lit(-2)), F.col("r"))), F.avg(F.when(F.col("s") <= F.try_element_at("e", F.lit(2)), F.col("r")))
+
+    def corr(x: str, y: str) -> Column:
+        a, b = F.stddev_samp(x), F.stddev_samp(y)
+        return F.when((F.count(F.lit(1)) >= least) & (a > 0) & (b > 0), F.covar_samp(x, y) / (a * b))
+
+    return pairs.groupBy(*keys, "timestamp").agg(corr("s", "r").alias("ic"), corr("rs", "rr").alias("rank_ic"), F.when(edges, top - bottom).alias("ret"))
 
 
 def ic_by_horizon(df: DataFrame, horizons: Mapping[int, str], keys: Sequence[str] = ()) -> DataFrame:
