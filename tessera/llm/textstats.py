@@ -6,8 +6,8 @@ crosses cuts as state: the line and the piece of text that are still open on eit
 counts and joins the open line and piece, so chunks merge in a tree and any cuts give the counts of the whole text.
 Texts of one chunk need no shuffle. Ratios and the rules that tell prose from lists, tables and junk come from the merged counts.
 
-A *word* is a run of characters without white space, and each Chinese character is one. A *common word* is one of at most 64
-characters that the list has. A *line* ends at a line feed; blank lines do not count. Tags are taken out of the text, which
+A *word* is a run of characters without white space, and each Chinese character is one. A *common word* is one that the list
+has, of at most 64 characters with the marks around it. A *line* ends at a line feed; blank lines do not count. Tags are taken out of the text, which
 is then cut into pieces: a *sentence* ends with a full stop, question or exclamation mark before white space (Chinese ones
 anywhere); blank lines, list marks, cells and table tags end a piece that is none. A sentence is *readable* if it has few
 odd symbols and several lower-case words (or Chinese characters with a common word) and is not longer than any sentence in

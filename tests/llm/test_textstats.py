@@ -62,7 +62,7 @@ def test_words_and_lines_against_brute_force(text):
     lines = [x for x in text.split("\n") if x.strip()]
     assert c["words"] == len(words) + len(cjk) and c["chars"] == len("".join(text.split())) and c["lines"] == len(lines)
     starts = sum(any(text.startswith(w, i) for w in WORDS if textstats.CJK.match(w)) for i in range(len(text)))
-    assert c["common"] == starts + sum(w.strip(textstats.PUNCTUATION).lower() in LEX.latin for w in words)
+    assert c["common"] == starts + sum(w.strip(textstats.PUNCTUATION).lower() in LEX.latin for w in words if len(w) <= textstats.LONGEST_WORD)
 
 
 PROSE = [
