@@ -198,14 +198,16 @@ def profile(counts: DataFrame) -> DataFrame:
 class DriftRules:
     """When a load differs clearly; shares are of the load's rows, so one entity's surge does not reach them.
 
-    share: excess of NULLs, violations or values in bins the other loads hardly have (less than `rare` of theirs).
+    share: excess of NULLs, violations or values in bins the other loads hardly have (less than `rare` of theirs: all of them;
+    else what lies above `times` their share, so that other loads with the same fault do not make it usual).
     z: the same in binomial standard deviations. ks and ks_z: greatest gap between the cumulative distributions,
     and that gap times the root of the rows. top: excess share of the commonest value over twice the usual one. crowd: for
-    dates, how many times the rows of the commonest date that loads near by have (a short week has fewer dates, not fuller ones).
+    dates, how many times the rows of the commonest date that loads of the days near by have (a short week has fewer dates, not fuller ones).
     """
 
     share: float = 0.12
     rare: float = 0.002
+    times: float = 8.0
     z: float = 5.0
     ks: float = 0.25
     ks_z: float = 2.6
@@ -234,8 +236,8 @@ def drift(counts: DataFrame, loads: Mapping[str, str]) -> DataFrame:
     """How each load's column differs from the same column in the other loads as a whole.
 
     loads: the column of each table that holds the time of a load. Gives KEYS, kind, rows, and for the load (p) and the others
-    (q): null and violation rates; novelty (share in bins that are rare elsewhere), ks (greatest cumulative gap),
-    top_share and top_rows of the commonest value, with the usual ones of the other loads (rows: of the four before and after). A column's bins are
+    (q): null and violation rates; the shares of each bin, ks (greatest cumulative gap), top_share and top_rows of the
+    commonest value, with the usual ones of the other loads (rows: of the four days of loads before and after). A column's bins are
     few (half octaves, days, forms), so the tables here are bins times loads.
     """
     binned = _bins(counts, loads)
@@ -244,9 +246,12 @@ def drift(counts: DataFrame, loads: Mapping[str, str]) -> DataFrame:
         F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), n).otherwise(0)).alias("nulls"),
         F.sum(F.when(F.col("rule") & (F.col("number") < 0), n).otherwise(0)).alias("bad"),
         F.max(F.when(F.col("value").isNotNull(), n)).alias("top_rows"), F.count("value").alias("distinct_values"),
+        F.min("day_").alias("day_"),
     )
     column = Window.partitionBy("table_name", "column_name")
-    beside = column.orderBy("load_id").rowsBetween(-4, 4)
+    # loads of one day share a place, as ids say nothing about time; loads without a day have places of their own
+    per = per.withColumn("place", F.dense_rank().over(column.orderBy("day_", F.when(F.col("day_").isNull(), F.col("load_id")))))
+    beside = column.orderBy("place").rangeBetween(-4, 4)
     per = per.withColumns({f"all_{c}": F.sum(c).over(column) for c in ("rows", "nulls", "bad")})
     per = per.withColumn("top_share", F.col("top_rows") / (F.col("rows") - F.col("nulls")))
     per = per.withColumns({"usual_top_share": F.expr("percentile(top_share, 0.5)").over(column), "usual_top_rows": F.expr("percentile(top_rows, 0.5)").over(beside)})
@@ -275,7 +280,8 @@ def differing_loads(counts: DataFrame, loads: Mapping[str, str], rules: DriftRul
         return F.coalesce((gap > rules.share) & (gap > rules.z * F.sqrt(q * (1 - q) / F.col("rows"))), F.lit(False))
 
     m = F.col("rows") - F.col("nulls")
-    novelty = F.aggregate(F.filter("pq", lambda x: x["q"] < rules.rare), F.lit(0.0), lambda a, x: a + F.coalesce(x["p"], F.lit(0.0)))
+    beyond = lambda x: F.when(x["q"] < rules.rare, x["p"]).otherwise(F.greatest(x["p"] - rules.times * x["q"], F.lit(0.0)))
+    novelty = F.aggregate("pq", F.lit(0.0), lambda a, x: a + F.coalesce(beyond(x), F.lit(0.0)))
     number, time = F.col("kind") == "number", F.col("kind") == "time"
     reasons = {
         "nulls": excess("nulls"),

@@ -181,6 +181,23 @@ def test_the_changed_load_is_found_and_no_other(spark, column, what):
     assert [r["load_id"] for r in found] == [6]
 
 
+@pytest.mark.parametrize("ids", ["in turn", "side by side"])
+def test_faults_that_loads_of_other_copies_share_are_found_in_each(spark, ids):
+    def change(r, i):
+        if r["load"] == 3 and i % 2:
+            r["day"] = r["day"].replace(year=1926)
+        if r["load"] == 6 and i % 3:
+            r["day"] = r["at"].date() + dt.timedelta(days=i % 2)
+        if r["load"] == 9:
+            r["day"] = dt.date(2026, 3, 3)
+
+    one = _loads(spark, 38, change=change)
+    copies, load = 10, F.col("load")
+    df = one.crossJoin(spark.range(copies)).withColumn("load", load + 38 * F.col("id") if ids == "in turn" else load * 100 + F.col("id")).drop("id")
+    found = [r["load_id"] for r in profile.differing_loads(profile.value_counts(df, SPEC), {"t": "at"}).where("column_name = 'day'").collect()]
+    assert sorted(found) == sorted(x + 38 * k if ids == "in turn" else x * 100 + k for x in (3, 6, 9) for k in range(copies))
+
+
 def test_a_surge_a_late_row_and_a_short_week_are_no_differences(spark):
     def change(r, i):
         if r["load"] == 4 and i == 0:
